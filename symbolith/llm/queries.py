@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, licences, near_dedup, packing, token_transducer, top_k
+from . import bpe_codec, exact_dedup, licences, near_dedup, packing, token_transducer, top_k, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,13 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), size=5, threshold=0.8).drop("digest")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "weight")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.token_counts(table(spark, sf_dir, "documents"), vocabulary=BYTE_BPE, limit=512)
 
@@ -44,7 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op4_token_counts, op5_bpe_codec, op6_exact_top_k, op7_exact_dedup, op8_licence_scan, op10_best_fit_packing)
+    f.__name__: f for f in (op1_near_dedup, op3_toxicity, op4_token_counts, op5_bpe_codec, op6_exact_top_k, op7_exact_dedup, op8_licence_scan, op10_best_fit_packing)
 }
 
 SQL: dict[str, str] = {
