@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, licences, near_dedup, packing, token_transducer, top_k, toxicity
+from . import bpe_codec, exact_dedup, licences, near_dedup, packing, quality, token_transducer, top_k, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,12 +46,16 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("digest")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary=BYTE_BPE, capacity=1024, end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op3_toxicity, op4_token_counts, op5_bpe_codec, op6_exact_top_k, op7_exact_dedup, op8_licence_scan, op10_best_fit_packing)
+    f.__name__: f for f in (op1_near_dedup, op3_toxicity, op4_token_counts, op5_bpe_codec, op6_exact_top_k, op7_exact_dedup, op8_licence_scan, op9_quality, op10_best_fit_packing)
 }
 
 SQL: dict[str, str] = {
