@@ -7,7 +7,7 @@ and suffix, sharded by these keys, turn counts into interpolated probabilities.
 
 Scoring: the perplexity of each text under the model of its language.  A model of at most ``BROADCAST_ROWS`` n-grams
 goes to the tasks; a larger one stays a table, and the distinct n-grams of the texts are joined with it.  Thresholds
-are quantiles of the perplexity of the trusted texts, by language.  Texts in a language without trusted text are
+are quantiles of the perplexity of trusted texts that aren't part of the model, by language.  Texts in a language without trusted text are
 scored by the model of all languages.
 """
 
@@ -26,9 +26,11 @@ ORDER = 5
 #: Bits of a symbol: 0 begin, 1 to 256 bytes, 257 end.
 BITS, END = 9, 257
 BROADCAST_ROWS = 6_000_000
-#: Share of trusted texts that the threshold keeps at least, and what a threshold is multiplied by: texts that the
-#: model hasn't seen are a little less likely than those it was trained on.
-QUANTILE, SLACK = 0.997, 1.1
+#: Every so many trusted rows, by the id's hash, the model isn't trained on: thresholds come from them.
+CALIBRATE = 5
+#: Quantile of their perplexity, what it is multiplied by, and the least threshold as a multiple of their median, for
+#: languages with few of them.
+QUANTILE, SLACK, LEAST = 0.997, 1.1, 1.25
 #: The perplexity of a short text varies more: it is divided by exp(SHORT / sqrt(symbols)) for the comparison.
 SHORT = 2.0
 #: The model over all languages.
@@ -260,8 +262,9 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row per input row: the id, digest (of its text), model (language of the model that scored it), perplexity,
     threshold, kept.
 
-    Trusted are the rows that ``labels`` gives 1, but for those of ``held_out``.  A text is kept if its perplexity,
-    allowing for its length, is at most the threshold of its model: ``slack`` times the quantile of the trusted texts.  Null counts as empty, which
+    Trusted are the rows that ``labels`` gives 1, but for those of ``held_out``.  One in CALIBRATE of them isn't
+    trained on.  A text is kept if its perplexity, allowing for its length, is at most the threshold of its model:
+    ``slack`` times their quantile, or LEAST times their median if that is more.  Null counts as empty, which
     is one end mark; null or unknown languages use the model of all languages.  Without any trusted text nothing is
     known: perplexity and threshold are null and all rows are kept.  Further columns are ignored.
     """
@@ -269,12 +272,13 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = df if held_out is None else df.filter(~held_out)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     own = chosen.select(F.col(id_col).alias("id"), lang.alias("lang"), common.text_of(text_col).alias("text"))
-    own = own.join(trusted, own["id"] == F.col("trusted_id"), "left_semi").select("lang", "text")
+    apart = F.pmod(F.xxhash64(F.col("trusted_id").cast("string")), F.lit(CALIBRATE)) == 0
+    own = own.join(trusted.filter(~apart), own["id"] == F.col("trusted_id"), "left_semi").select("lang", "text")
     model = probabilities(common.staged(count_grams(own), "counts"))
     scores = common.staged(perplexities(df, model, id_col, text_col, lang_col, broadcast_rows=broadcast_rows), "perplexities")
     fair = F.col("perplexity") * F.exp(-SHORT / F.sqrt("symbols"))
-    known = scores.join(trusted, scores["id"] == F.col("trusted_id"), "left_semi")
-    limit = F.percentile_approx(fair, quantile, 100_000) * slack
+    known = scores.join(trusted.filter(apart), scores["id"] == F.col("trusted_id"), "left_semi")
+    limit = F.greatest(F.percentile_approx(fair, quantile, 100_000) * slack, F.percentile_approx(fair, 0.5, 100_000) * LEAST)
     limits, everywhere = known.groupBy("model").agg(limit.alias("threshold")), known.agg(limit.alias("any_threshold"))
     limits = scores.select("model").distinct().join(limits, "model", "left").join(F.broadcast(everywhere))  # one row a language
     limits = limits.select("model", F.coalesce("threshold", "any_threshold").alias("threshold"))
