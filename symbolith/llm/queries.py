@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, licences, near_dedup, packing, quality, token_transducer, top_k, toxicity
+from . import bpe_codec, exact_dedup, html_extract, licences, near_dedup, packing, quality, token_transducer, top_k, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), size=5, threshold=0.8).drop("digest")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -55,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op3_toxicity, op4_token_counts, op5_bpe_codec, op6_exact_top_k, op7_exact_dedup, op8_licence_scan, op9_quality, op10_best_fit_packing)
+    f.__name__: f for f in (op1_near_dedup, op2_html_extract, op3_toxicity, op4_token_counts, op5_bpe_codec, op6_exact_top_k, op7_exact_dedup, op8_licence_scan, op9_quality, op10_best_fit_packing)
 }
 
 SQL: dict[str, str] = {
