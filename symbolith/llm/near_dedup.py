@@ -28,6 +28,8 @@ from . import common
 BANDS, BAND_SIZE = 48, 7
 #: Rounds in which buckets have one leader.
 LEADER_ROUNDS = 3
+#: A similarity that is less than the threshold by rounding only reaches it.
+EVEN = 1e-9
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,7 +176,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     both = salted.join(sets.withColumnsRenamed({"node": "a", "shingles": "left"}), "a").join(right.drop("salts"), ["b", "salt"])
     common_ = F.size(F.array_intersect("left", "right"))
     both = both.select("a", "b", common_.alias("n"), (F.size("left") + F.size("right")).alias("m"))
-    return both.filter(F.col("n") >= F.lit(threshold) * (F.col("m") - F.col("n"))).select("a", "b")
+    return both.filter(F.col("n") >= F.lit(threshold) * (F.col("m") - F.col("n")) - EVEN).select("a", "b")
 
 
 def components(nodes: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
@@ -239,7 +241,7 @@ def linked_labels(shared: DataFrame, nodes: DataFrame, sets: DataFrame, threshol
             pairs = placed.join(leaders, "bucket").filter("component <> leader.component")
             pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("leader")).select("a", F.col("leader.node").alias("b"))
         else:
-            pairs = apart(placed)
+            pairs = apart(placed.join(shared_counts(sets), "node"), threshold)
         pairs = common.staged(pairs, "pairs")
         if pairs.head(1):
             linked = common.staged(verified(pairs, sets, threshold), "linked")
@@ -257,13 +259,28 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return found.select(*[F.col(c) if c == id_col else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
-def apart(placed: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket and not a component: all nodes outside a bucket's largest component, each
-    with every node of the bucket that is in another one."""
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """node, size (its shingles), common (those that another candidate has as well)."""
+    alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    alone = alone.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sized = sets.select("node", F.size("shingles").alias("size")).join(alone, "node", "left")
+    return common.staged(sized.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "counts")
+
+
+def apart(placed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes that share a bucket and not a component and may be similar: all nodes outside a bucket's largest
+    component, each with every node of the bucket that is in another one.
+
+    What two sets share is at most what each shares with any set; pairs that this keeps below the threshold, such as
+    two copies with many changes of their own, are left out, and no others.
+    """
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = common.staged(placed.join(common.staged(largest, "largest").select("bucket", F.col("top.component").alias("main")), "bucket"), "mixed")
-    few = mixed.filter("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("mine"))
-    pairs = few.join(mixed.select("bucket", F.col("node").alias("b"), F.col("component").alias("other"), "main"), "bucket")
-    pairs = pairs.filter("mine <> other and (other = main or a < b)")
-    return pairs.select(F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    possible = mixed.filter(F.col("common") >= threshold * F.col("size") - EVEN)
+    few = possible.filter("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("mine"), F.col("size").alias("a_size"), F.col("common").alias("a_common"))
+    rest = possible.select(F.col("bucket").alias("b_bucket"), F.col("node").alias("b"), F.col("component").alias("other"), "main", "size", "common")
+    most = F.least("a_common", "common")
+    meet = (F.col("bucket") == F.col("b_bucket")) & (F.col("mine") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("a") < F.col("b")))
+    pairs = few.join(rest, meet & (most >= F.lit(threshold) * (F.col("a_size") + F.col("size") - most) - EVEN))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
