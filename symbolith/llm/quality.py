@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 5
+ORDER = 4
 #: Bits of a symbol: 0 begin, 1 to 256 bytes, 257 end.
 BITS, END = 9, 257
 BROADCAST_ROWS = 6_000_000
@@ -30,7 +30,7 @@ BROADCAST_ROWS = 6_000_000
 CALIBRATE = 5
 #: Quantile of their perplexity, what it is multiplied by, and the least threshold as a multiple of their median, for
 #: languages with few of them.
-QUANTILE, SLACK, LEAST = 0.997, 1.1, 1.25
+QUANTILE, SLACK, LEAST = 0.997, 1.1, 1.4
 #: The perplexity of a short text varies more: it is divided by exp(SHORT / sqrt(symbols)) for the comparison.
 SHORT = 2.0
 #: The model over all languages.
@@ -197,14 +197,14 @@ def perplexities(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_c
     if sum(sizes.values()) > broadcast_rows:
         return _by_join(rows, model)
     kind = rows.schema["id"].dataType.simpleString()
-    table = model.toPandas() if sizes else None
     arrays: dict[str, dict] = {}
-    for lang in sizes:
-        own = table[table["lang"] == lang]
+    for lang in sizes:  # one language and order at a time passes the driver
         arrays[lang] = {}
         for size in range(ORDER + 1):
-            part = own[own["size"] == size].sort_values("gram")
-            arrays[lang][size] = tuple(part[c].to_numpy(t) for c, t in (("gram", np.int64), ("logp", float), ("back", float)))
+            part = model.filter((F.col("lang") == lang) & (F.col("size") == size)).select("gram", F.col("logp").cast("float"), F.col("back").cast("float")).toArrow()
+            gram = part.column(0).to_numpy()
+            order = np.argsort(gram)
+            arrays[lang][size] = gram[order], *(part.column(k).to_numpy(zero_copy_only=False)[order].astype(np.float32) for k in (1, 2))
     sent = df.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches):
