@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 2000
 #: ... and more than so many rows.
 HOT_ROWS = 1000
+#: Rows of an Arrow batch that are turned into Python strings together.
+SLICE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +64,13 @@ def texts(column: pa.Array) -> list[str]:
 def runs(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[int, list[str]]]:
     """Texts of a column in runs of about ``limit`` characters, each with the row of its first."""
     at, run, size = 0, [], 0
-    for k, t in enumerate(texts(batch.column(column))):
-        if run and size + len(t) > limit:
-            yield at, run
-            at, run, size = k, [], 0
-        run.append(t)
-        size += len(t) + 1
+    for k in range(0, batch.num_rows, SLICE):  # not all texts of the batch at once
+        for j, t in enumerate(texts(batch.column(column).slice(k, SLICE)), k):
+            if run and size + len(t) > limit:
+                yield at, run
+                at, run, size = j, [], 0
+            run.append(t)
+            size += len(t) + 1
     if run:
         yield at, run
 

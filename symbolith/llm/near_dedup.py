@@ -43,7 +43,7 @@ class _Words(dict):
     """64-bit hash of a word."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return got
@@ -132,7 +132,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, ban
         seen: set[bytes] = set()
         for batch in batches:
             keys, out = [], []
-            for _, texts in common.runs(batch, 1, 1 << 21):
+            for _, texts in common.runs(batch, 1, 1 << 20):
                 new = []
                 for t in texts:
                     words = words_of(t)
@@ -141,7 +141,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, ban
                     if key in seen:
                         out.append(None)
                         continue
-                    if len(seen) > 300_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(key)
                     new.append(len(out))
@@ -161,7 +161,7 @@ def shingle_sets(df: DataFrame, text_col: str, key_col: str, size: int) -> DataF
 
     def run(batches):
         for batch in batches:
-            for at, texts in common.runs(batch, 1, 1 << 21):
+            for at, texts in common.runs(batch, 1, 1 << 20):
                 sets = [np.unique(shingles(words_of(t), size)).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 

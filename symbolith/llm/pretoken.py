@@ -168,7 +168,7 @@ class Cache:
     points are made anew each time.
     """
 
-    def __init__(self, make, slots: int = 1 << 21, store: int = 6_000_000):
+    def __init__(self, make, slots: int = 1 << 20, store: int = 4_000_000):
         self.make, self.slots, self.limit = make, slots, store
         self.clear()
 

@@ -33,6 +33,8 @@ CALIBRATE = 5
 QUANTILE, SLACK, LEAST = 0.997, 1.1, 1.4
 #: The perplexity of a short text varies more: it is divided by exp(SHORT / sqrt(symbols)) for the comparison.
 SHORT = 2.0
+#: Characters whose n-grams are looked at together.
+PART = 1 << 18
 #: The model over all languages.
 ALL = "*"
 
@@ -70,11 +72,12 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams[part]), pa.string()), pa.array(grams[part]), pa.array(counts[part])], names=["lang", "gram", "n"])
 
         for batch in batches:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1))):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                for part in _parts(texts):
+            langs = batch.column(0).to_pylist()
+            for at, texts in common.runs(batch, 1, PART):
+                by: dict[str, list[str]] = {}
+                for lang, text in zip(langs[at : at + len(texts)], texts):
+                    by.setdefault(lang, []).append(text)
+                for lang, part in by.items():
                     grams, n = np.unique(_grams(part)[0], return_counts=True)
                     own = held.setdefault(lang, [])
                     own.append((grams, n.astype(np.int64)))
@@ -90,18 +93,6 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return each.filter(F.col("lang") != ALL).unionByName(each.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL)))
 
 
-def _parts(texts: list[str], limit: int = 1 << 21):
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > limit:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
-
-
 def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
     grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
     return grams, np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(grams)).astype(np.int64)
@@ -146,7 +137,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
 class Model:
     """Lookups in one language's model, with a direct-mapped cache of resolved n-grams."""
 
-    SLOTS = 1 << 20
+    SLOTS = 1 << 18
 
     def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.tables = tables
@@ -210,21 +201,19 @@ def perplexities(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_c
     def run(batches):
         models: dict[str, Model] = {}
         for batch in batches:
-            out = np.full(batch.num_rows, np.nan)
-            by: dict[str, list[int]] = {}
-            for k, lang in enumerate(batch.column(2).to_pylist()):
-                by.setdefault(lang, []).append(k)
-            texts = common.texts(batch.column(3))
-            for lang, at in by.items():
-                if lang not in sent.value:
-                    continue
-                own, used = models.setdefault(lang, Model(sent.value[lang])), 0
-                for part in _parts([texts[k] for k in at]):
-                    grams, sizes = _grams(part)
-                    out[at[used : used + len(part)]] = np.exp(-common.sums(own.log_probabilities(grams), sizes) / sizes)
-                    used += len(part)
-            symbols = [len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, from_pandas=True), pa.array(symbols, pa.int64())], names=["id", "digest", "model", "perplexity", "symbols"])
+            out, symbols = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, np.int64)
+            langs = np.array(batch.column(2).to_pylist(), object)
+            for begin, texts in common.runs(batch, 3, PART):
+                own = langs[begin : begin + len(texts)]
+                for lang in set(own.tolist()):
+                    at = np.flatnonzero(own == lang)
+                    grams, sizes = _grams([texts[k] for k in at])
+                    symbols[begin + at] = sizes
+                    if lang in sent.value:
+                        if lang not in models:
+                            models[lang] = Model(sent.value[lang])
+                        out[begin + at] = np.exp(-common.sums(models[lang].log_probabilities(grams), sizes) / sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, from_pandas=True), pa.array(symbols)], names=["id", "digest", "model", "perplexity", "symbols"])
 
     return rows.mapInArrow(run, f"id {kind}, digest binary, model string, perplexity double, symbols long")
 
