@@ -131,7 +131,7 @@ class CSharp(Reader):
             elif body:
                 self.block(s.open + 1, s.close, own, (m[2], kind))
         elif m := re.match(self.MODIFIERS + r"delegate\s+" + self.TYPE + r"\s+(\w+)\s*(?:<[^>]*>)?\s*\(", code):
-            src.add("delegate", join(scope, m[1], "."), self.full(s.begin, end), s.begin, end)
+            src.add("delegate", join(scope, m[1], "."), self.full(s.begin, end).rstrip(";"), s.begin, end)
         elif owner:
             self.member(s, at, code, scope, owner, end, body)
         return None
@@ -142,14 +142,15 @@ class CSharp(Reader):
         head = s.begin + (at - s.begin) + arrow if arrow >= 0 and (not body or at + arrow < s.open) else s.head
         inside = body or arrow >= 0
         if m := re.match(self.MODIFIERS + r"event\s+" + self.TYPE + r"\s+(\w+)", code):
-            src.add("event", join(scope, m[1], "."), self.full(s.begin, s.head if body else end), s.begin, end)
+            src.add("event", join(scope, m[1], "."), self.full(s.begin, s.head if body else end).rstrip(";"), s.begin, end)
         elif m := re.match(r"~(\w+)\s*\(", code):
             src.add("destructor", join(scope, m[1], "."), self.full(s.begin, head), s.begin, end)
         elif m := re.match(self.MODIFIERS + r"(?:(implicit|explicit)\s+operator\s+([\w<>?]+)|" + self.TYPE + r"\s+operator\s*(true|false|[^\s\w(]+))\s*\(", code):
             name = f"{m[1]} operator {m[2]}" if m[1] else f"operator{m[3]}"
             src.add("operator" if inside else "operator_declaration", join(scope, name, "."), self.full(s.begin, head) if inside else src.first(s.begin, end), s.begin, end)
         elif m := re.match(self.MODIFIERS + self.TYPE + r"\s+this\s*\[", code):
-            src.add("subscript", join(scope, "this", "."), self.full(s.begin, head), s.begin, end)
+            src.add("subscript", join(scope, "this", "."), self.full(s.begin, end), s.begin, end)
+            self.accessors(s, join(scope, "this", "."), body)
         elif m := re.match(self.MODIFIERS + r"(?:(" + self.TYPE + r")\s+)?(?:\w+\.)*(\w+)\s*(?:<[^()=]*>)?\s*\(", code):
             if m[2] in ("if", "for", "while", "return"):
                 return
@@ -158,13 +159,18 @@ class CSharp(Reader):
         elif (body or arrow >= 0) and (m := re.match(self.MODIFIERS + self.TYPE + r"\s+(?:\w+\.)*(\w+)\s*(=>|$)", code)):
             own = join(scope, m[1], ".")
             src.add("property", own, self.full(s.begin, end), s.begin, end)
-            if body:
-                for t in src.statements(s.open + 1, s.close):
-                    if a := re.match(r"(?:(?:public|protected|private|internal|readonly)\s+)*(get|set)\b", src.code[t.begin : max(t.head, t.begin)]):
-                        src.add({"get": "getter", "set": "setter"}[a[1]], own, src.first(t.begin, max(t.end, t.head)), t.begin, max(t.end, t.head))
+            self.accessors(s, own, body)
         elif not body and (m := re.match(self.MODIFIERS + r"(const\s+)?" + self.TYPE + r"\s+(\w+)\s*(=|;|,|$)", code)):
             equals = at + m.start(3) if m[1] and m[3] == "=" else end
-            src.add("const" if m[1] else "field", join(scope, m[2], "."), self.full(s.begin, equals), s.begin, end)
+            more = [re.match(r"\w+", src.code[x:y]) for x, y in list(src.parts(at, s.head))[1:]] if m[3] in ("=", ",") else []
+            for name in [m[2], *(x[0] for x in more if x)]:
+                src.add("const" if m[1] else "field", join(scope, name, "."), self.full(s.begin, equals).rstrip(";"), s.begin, end)
+
+    def accessors(self, s, own, body):
+        src = self.src
+        for t in src.statements(s.open + 1, s.close) if body else ():
+            if a := re.match(r"(?:(?:public|protected|private|internal|readonly)\s+)*(get|set)\b", src.code[t.begin : max(t.head, t.begin)]):
+                src.add({"get": "getter", "set": "setter"}[a[1]], own, src.first(t.begin, max(t.end, t.head)), t.begin, max(t.end, t.head))
 
 
 class Php(Reader):
@@ -174,7 +180,8 @@ class Php(Reader):
 
     def __init__(self, text):
         super().__init__(text)
-        self.src.code = re.sub(r"<\?php\b|<\?=|\?>|(?m:#(?!\[).*$)", lambda m: " " * len(m[0]), self.src.code)
+        # what is outside the tags is no code
+        self.src.code = re.sub(r"\A.*?<\?(?:php\b|=)|\?>.*?(?:<\?(?:php\b|=)|\Z)|(?m:#(?!\[).*$)", lambda m: re.sub(r"[^\n]", " ", m[0][:-1]) + (";" if m[0][:2] == "?>" else " "), self.src.code, flags=re.S) if "<?" in text else self.src.code
 
     def statement(self, s, at, code, scope, owner):
         src, end, body = self.src, max(s.end, s.head), s.open >= 0
@@ -201,7 +208,9 @@ class Php(Reader):
                     if p := re.match(r"(?:(?:public|protected|private|readonly)\s+)+[^$]*\$(\w+)", src.code[x:y]):
                         src.add("property", join(scope, p[1], "::"), self.full(x, y), x, y)
         elif m := re.match(modifiers + r"const\s+(?:[\w\\|?]+\s+)?(\w+)\s*=", code):
-            src.add("const", join(scope, m[1], sep), self.full(s.begin, stop), s.begin, end)
+            more = [re.match(r"\w+(?=\s*=)", src.code[x:y]) for x, y in list(src.parts(at, stop))[1:]]
+            for name in [m[1], *(x[0] for x in more if x)]:
+                src.add("const", join(scope, name, sep), self.full(s.begin, stop), s.begin, end)
         elif m := re.match(r"case\s+(\w+)", code) if owner else None:
             src.add("variant", join(scope, m[1], "::"), self.full(s.begin, stop), s.begin, end)
         elif not owner and (m := re.match(r"\\?define\s*\(\s*['\"]", code)):
@@ -376,7 +385,10 @@ class Dart(Reader):
         elif m := re.match(prefix + self.TYPE + r"\s+operator\s*(\[\]=?|==|[^\s\w(]+)\s*\(", plain):
             src.add("operator", join(scope, f"operator{m[1]}", "."), signature, s.begin, end)
         elif owner and (m := re.match(r"(?:(?:const|factory|external)\s+)*(" + re.escape(owner[0]) + r"(?:\.\w+)?)\s*\(", plain)):
-            src.add("constructor", join(scope, m[1], "."), self.full(s.begin, src.match(at + m.end() - 1, end) + 1), s.begin, end)
+            named = m[1].partition(".")[2]
+            initial = bool(named) and re.match(r"\s*:", src.code[src.match(at + m.end() - 1, end) + 1 : end])
+            stop = head if initial else src.match(at + m.end() - 1, end) + 1
+            src.add("constructor", join(scope, named, ".") if named else join(scope, m[1], "."), self.full(s.begin, stop).rstrip(";"), s.begin, end)
         elif (m := re.match(prefix + r"(?:" + self.TYPE + r"\s+)?(\w+)\s*(?:<[^()=]*>)?\s*\(", plain)) and "=" not in plain[: m.end()]:
             kind = "method" if owner else "function"
             cut = src.match(at + m.end() - 1, end) + 1

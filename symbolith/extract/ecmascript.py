@@ -47,7 +47,8 @@ def _statements(src: Source, a: int, b: int, scope: str, typed: bool) -> None:
         own = join(scope, name, ".")
         end = max(s.end, s.head)
         if word == "function":
-            src.add("function" if s.open >= 0 else "function_declaration", own, src.flat(s.begin, s.head), s.begin, end)
+            signature = re.sub(r"^declare\s+", "", src.flat(s.begin, end)) if ambient else src.flat(s.begin, s.head)
+            src.add("function" if s.open >= 0 else "function_declaration", own, signature, s.begin, end)
         elif word == "class":
             src.add("class_declaration" if ambient else "class", own, src.flat(s.begin, s.head), s.begin, end)
             _class(src, s.open + 1, s.close, own, typed)

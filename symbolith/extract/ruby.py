@@ -35,20 +35,30 @@ def extract(text: str) -> list:
     return src.out
 
 
+def _body(src: Source, begin: int, end: int) -> int:
+    """Where the first statement of a body begins; behind its ``end`` if it is empty."""
+    rest = src.code[end:]
+    at = end + len(rest) - len(rest.lstrip())
+    return at + 3 if re.match(r"end\b", src.code[at:]) else at
+
+
 def _one(src: Source, line: str, begin: int, end: int, scope: str, where: str):
     """Adds what a line defines; what it opens, if that is a definition."""
     sign = lambda stop=end: normalised(src.flat(begin, stop))
+    if where == "def":
+        return None
     if m := re.match(r"(class|module)\s+(?:(<<)\s*\w+|([A-Z][\w:]*))", line):
         if m[2]:
             return scope, "class", -1
         own = join(scope, m[3], "::")
-        src.add(m[1], own, sign(), begin, end)
+        src.add(m[1], own, sign(_body(src, begin, end)), begin, end)
         return own, m[1], len(src.out) - 1
     if m := re.match(r"(?:(?:private|protected|public|module_function|private_class_method)\s+)?def\s+(?:self\.|\w+\.)?([\w]+[?!=]?(?=[\s(;]|$)|\[\]=?|[^\s\w(]+)", line):
         name = m[1]
         kind = "operator" if name in OPERATORS else "constructor" if name == "initialize" else "method"
         start = begin + line.index("def")
         stop = begin + (re.search(r";|\)\s*=\s", line).start() + (line[re.search(r";|\)\s*=\s", line).start()] == ")") if re.search(r";|\)\s*=\s", line) else len(line))
+        stop = _body(src, begin, end) if stop == begin + len(line) else stop
         src.add(kind, join(scope, name, "::"), normalised(src.flat(start, stop)), begin, end)
         return join(scope, name, "::"), "def", len(src.out) - 1
     if where in ("def", "block"):
@@ -58,10 +68,10 @@ def _one(src: Source, line: str, begin: int, end: int, scope: str, where: str):
         own = join(scope, m[1], "::")
         src.add("struct", own, src.first(begin, end), begin, end)
         return own, "class", len(src.out) - 1
-    if m := re.match(r"([A-Z]\w*)\s*=(?![=~])", line):
-        src.add("const", join(scope, m[1], "::"), sign(begin + m.end() - 1), begin, end)
-    elif where == "top" and (m := re.match(r"([a-z_]\w*)\s*=(?![=~])", line)):
-        src.add("var", m[1], sign(begin + m.end() - 1), begin, end)
+    if m := re.match(r"([A-Z]\w*)\s*(?:\|\||&&|[-+*/])?=(?![=~])", line):
+        src.add("const", join(scope, m[1], "::"), sign(begin + len(re.match(r"\w+", line)[0])), begin, end)
+    elif where == "top" and (m := re.match(r"([a-z_]\w*)\s*(?:\|\||&&|[-+*/])?=(?![=~])", line)):
+        src.add("var", m[1], sign(begin + len(m[1])), begin, end)
     elif m := re.match(r"alias\s+:?(\S+)\s+:?\S+", line) or re.match(r"alias_method\s*\(?\s*:(\S+?)\s*,", line):
         src.add("alias", join(scope, m[1], "::"), src.first(begin, end), begin, end)
     elif m := re.match(r"attr_(reader|writer|accessor)\b(.*)", line):
