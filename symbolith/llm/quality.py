@@ -262,7 +262,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     own = chosen.select(F.col(id_col).alias("id"), lang.alias("lang"), common.text_of(text_col).alias("text"))
     apart = F.pmod(F.xxhash64(F.col("trusted_id").cast("string")), F.lit(CALIBRATE)) == 0
-    own = own.join(trusted.filter(~apart), own["id"] == F.col("trusted_id"), "left_semi").select("lang", "text")
+    # one plan at every size: the texts are dealt by id, whether the labels would fit into a broadcast or not
+    own = own.join(trusted.filter(~apart).hint("merge"), own["id"] == F.col("trusted_id"), "left_semi").select("lang", "text")
     model = probabilities(common.staged(count_grams(own), "counts"))
     scores = common.staged(perplexities(df, model, id_col, text_col, lang_col, broadcast_rows=broadcast_rows), "perplexities")
     fair = F.col("perplexity") * F.exp(-SHORT / F.sqrt("symbols"))
