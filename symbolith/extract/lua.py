@@ -37,8 +37,10 @@ def _block_end(src: Source, at: int) -> int:
 
 def _parameters(src: Source, at: int, typed: bool) -> int:
     """Behind the parameter list (and, in Luau, the result's type)."""
-    paren = src.code.find("(", at)
-    end = src.match(paren, len(src.code)) + 1
+    paren = re.compile(r"\s*(?:<[^>\n]*>)?\s*(?=\()").match(src.code, at)
+    if not paren:
+        return at
+    end = min(src.match(paren.end(), len(src.code)) + 1, len(src.code))
     if typed and (m := re.compile(r"\s*:\s*").match(src.code, end)):
         i = m.end()
         while i < len(src.code) and src.code[i] != "\n":
@@ -114,7 +116,7 @@ def _value_end(src: Source, at: int) -> int:
         if src.code[i] in "({[":
             i = src.match(i, n)
         elif src.code.startswith("function", i) and not src.code[i - 1 : i].isalnum():
-            i = _block_end(src, _parameters(src, i, False)) - 1
+            i = _block_end(src, _parameters(src, i + 8, False)) - 1
         i += 1
     return min(i, n)
 
@@ -134,7 +136,7 @@ def _table(src: Source, a: int, b: int, scope: str) -> None:
             if src.code[end] in "({[":
                 end = src.match(end, b)
             elif src.code.startswith("function", end):
-                end = _block_end(src, _parameters(src, end, False)) - 1
+                end = _block_end(src, _parameters(src, end + 8, False)) - 1
             end += 1
         own, value = f"{scope}.{m[1]}".lstrip("."), src.code[m.end() : end]
         if value.startswith("{"):

@@ -25,8 +25,8 @@ def _items(src: Source, a: int, b: int, scope: str, owner: str | None) -> None:
         at = s.begin
         start = at
         while src.code.startswith("#", at):
-            bracket = src.code.find("[", at)
-            at = src.match(bracket, b) + 1
+            bracket = src.code.find("[", at, b)
+            at = src.match(bracket, b) + 1 if bracket >= 0 else b
             at += len(src.code[at:b]) - len(src.code[at:b].lstrip())
         begin, head = start, src.code[at : s.head]
         m = ITEM.match(head)
@@ -75,7 +75,8 @@ def _members(src: Source, a: int, b: int, scope: str, word: str) -> None:
     for x, y in src.parts(a, b):
         at = x
         while src.code.startswith("#", at):
-            at = src.match(src.code.find("[", at), y) + 1
+            bracket = src.code.find("[", at, y)
+            at = src.match(bracket, y) + 1 if bracket >= 0 else y
             at += len(src.code[at:y]) - len(src.code[at:y].lstrip())
         code = src.code[at:y]
         if word == "enum":
