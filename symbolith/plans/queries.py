@@ -12,7 +12,7 @@ from ..functions import text
 from ..operators import relational as ops
 from ..pattern import Case, Pattern
 from ..sources import globs
-from . import derived
+from . import derived, extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,3 +136,19 @@ def kinds_to_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["kinds_to_ext"] = kinds_to_ext
 SQL["kinds_to_ext"] = f"WITH {derived.SQL} SELECT DISTINCT d.kind, e.ext FROM defs d JOIN (VALUES " + ", ".join(f"('{k}', '{e}')" for k in model.KINDS for e in languages.extensions_for([k])) + ") AS e(kind, ext) ON d.kind = e.kind"
+QUERIES |= extraction.QUERIES
+SQL |= extraction.SQL
+
+
+def rpc_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error codes of request frames made from events."""
+    from ..streaming.requests import parsed
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    frame = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"jsonrpc":"2.0","id":1,"method":"ping"}' WHEN 1 THEN '{"id":1,"method":"ping"}'
+        WHEN 2 THEN '{"jsonrpc":"2.0","id":1,"method":"' || event_type || '"}' ELSE '{"jsonrpc":' END""")
+    return parsed(events.select("event_id", frame.alias("value"))).groupBy(F.coalesce("code", F.lit(0)).alias("code")).agg(F.count("*").alias("n"))
+
+
+QUERIES["rpc_dispatch"] = rpc_dispatch
+SQL["rpc_dispatch"] = "SELECT CAST(CASE event_id % 4 WHEN 1 THEN -32600 WHEN 2 THEN -32601 WHEN 3 THEN -32700 ELSE 0 END AS INTEGER) AS code, count(*) AS n FROM events GROUP BY 1"

@@ -102,7 +102,7 @@ def test_requests(spark, tree):
     assert "serverInfo" in ask("initialize")["result"] and ask("initialize")["error"]["code"] == -32600
     assert s.answer('{"jsonrpc": "2.0", "method": "notifications/initialized"}') is None and ask("ping")["result"] == {}
     assert len(ask("tools/list")["result"]["tools"]) == 3
-    assert tool("outline")["result"]["isError"] and tool("set_project_root", root="rel")["error"]["code"] == -32602
+    assert tool("outline", path="a")["result"]["isError"] and tool("set_project_root", root="rel")["error"]["code"] == -32602
     tool("set_project_root", root=str(tree))
     assert tool("search_definitions", pattern="free", path="a")["result"]["content"][0]["text"] == "a/one.py:7-8 [function/free] def free()"
     assert "--- errors ---\nbad.py: " in tool("search_definitions", pattern="nothing")["result"]["content"][0]["text"]
