@@ -13,10 +13,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once an application, for sessions that weren't started with it."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = Path(__file__).resolve().parent
+    """Sends this package to the executors once an application, unless PYTHONPATH has it for them."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    known = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
+    if app not in _SHIPPED and str(root.parent) not in known:
         fd, name = tempfile.mkstemp(suffix=".zip", prefix="symbolith-")
         os.close(fd)
         with zipfile.ZipFile(name, "w") as archive:
