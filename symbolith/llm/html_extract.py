@@ -285,7 +285,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([m for _, m in found], pa.bool_()), batch.column(4)], names=["id", "url", "host", "blocks", "marked", "share"])
 
     parsed = rows.withColumn("share", F.pmod(F.xxhash64("id", "url"), shares).cast("long")).mapInArrow(parse, f"id {kind}, url {url_kind}, host string, blocks array<string>, marked boolean, share long")
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
     by_host = parsed.repartition(n_parts, "host", "share").sortWithinPartitions("host", "share", F.xxhash64("id", "url"))
 
     def by_runs(batches):
