@@ -19,8 +19,6 @@ def extract(text: str) -> list:
 
 def _block(src: Source, a: int, b: int, scope: str) -> None:
     at, depth = a, 0
-    for line in re.finditer(r"[^\n;]+|[\n;]", src.code[a:b]):
-        pass
     while at < b:
         m = LINE.match(src.code, at, b)
         if m and m["function"]:

@@ -20,15 +20,13 @@ def extract(text: str) -> list:
 
 def _items(src: Source, a: int, b: int, scope: str, owner: str | None) -> None:
     """``owner``: None at the level of modules, else the name of the trait ('' for a plain impl) whose members these are."""
-    begin = -1
     for s in src.statements(a, b):
-        at = s.begin
-        start = at
+        begin = at = s.begin
         while src.code.startswith("#", at):
             bracket = src.code.find("[", at, b)
             at = src.match(bracket, b) + 1 if bracket >= 0 else b
             at += len(src.code[at:b]) - len(src.code[at:b].lstrip())
-        begin, head = start, src.code[at : s.head]
+        head = src.code[at : s.head]
         m = ITEM.match(head)
         if not m or m[2] == "use":
             continue
