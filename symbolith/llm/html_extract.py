@@ -8,7 +8,8 @@ Host suffix array: the blocks of a host's pages are concatenated as word streams
 doubling up to ``RUN`` words, so equal ranks are substrings of that length, and those on enough distinct pages cover
 boilerplate.  Blocks that are covered are removed and unique runs stay.  Pages that don't mark their article lose what
 two pages share; inside a marked article only text that most pages of a large host share is boilerplate, since articles
-quote and copy each other.
+quote and copy each other.  Copies and near copies of a page (classes of ``near_dedup``) count as one page, so that a
+text isn't boilerplate because it was published again; a page of which every block is shared keeps them.
 
 Pages are dealt by host; a host with much text is dealt into salted shares, and a task looks at a few MB of a host at
 a time, so memory doesn't depend on the size of a host.
@@ -16,6 +17,7 @@ a time, so memory doesn't depend on the size of a host.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, near_dedup
 from .near_dedup import _words
 
 #: Words of a substring that counts when repeated (a power of two), characters of a host looked at together.
 RUN, TOGETHER = 16, 4_000_000
+#: Similarity of the candidate blocks from which two pages are near copies, and words of a shingle.
+NEAR, SHINGLE = 0.8, 5
 #: Distinct pages that make a run boilerplate outside marked articles; share of the pages, and least pages, inside.
 PAGES, SHARE, LEAST_PAGES = 2, 0.6, 10
 #: Share of a block's words that is covered when the block is removed; of its characters in links, outside articles.
@@ -206,13 +210,14 @@ def ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def covered(pages: list[list[np.ndarray]], run: int) -> list[list[tuple[float, int]]]:
-    """Of each block of each page: the share of its words that repeated runs cover, and the pages of its commonest run.
+def covered(pages: list[list[np.ndarray]], classes: list[int], run: int) -> list[list[tuple[float, int]]]:
+    """Of each block of each page: the share of its words that repeated runs cover, and the classes of pages that have
+    its commonest run.
 
     A run stays inside a block, or is the whole of a shorter one; words and marks of block ends are the tokens.
     """
     flat, page_of, block_of, sizes = [], [], [], []
-    for p, blocks in enumerate(pages):
+    for p, blocks in zip(classes, pages):
         for b in blocks:
             # an end mark of its own kind fills the block up to the length of a run, so that short blocks compare whole
             pad = np.full(max(1, run - len(b)), 1, np.uint64)
@@ -249,63 +254,83 @@ def covered(pages: list[list[np.ndarray]], run: int) -> list[list[tuple[float, i
     return out
 
 
-def main_texts(pages: list[tuple[list[str], bool]]) -> list[str]:
-    """Main text of each page of one host (or a share of it), given as candidate blocks and whether it marks its article."""
+def main_texts(pages: list[tuple[list[str], bool]], classes: list | None = None) -> list[str]:
+    """Main text of each page of one host (or a share of it), given as candidate blocks and whether it marks its article.
+
+    Pages of one class are copies and count once; without ``classes`` those of equal blocks.
+    """
     hashes = _words()
     words = [[np.fromiter(map(hashes.__getitem__, b.split()), np.uint64) for b in blocks] for blocks, _ in pages]
-    many = max(LEAST_PAGES, int(np.ceil(SHARE * len(pages))))
-    out = []
-    for (blocks, marked), cover in zip(pages, covered(words, RUN)):
-        least = many if marked else PAGES
-        kept = [b for b, (share, n) in zip(blocks, cover) if share < COVERED or n < least]
-        out.append("\n".join(kept if kept or marked else blocks))
-    return out
+    kinds: dict = {}
+    numbers = [kinds.setdefault(k, len(kinds)) for k in (classes or [tuple(b) for b, _ in pages])]
+    many = max(LEAST_PAGES, int(np.ceil(SHARE * len(kinds))))
+    return [kept_text(blocks, cover, many if marked else PAGES) for (blocks, marked), cover in zip(pages, covered(words, numbers, RUN))]
+
+
+def kept_text(blocks: list[str], cover: list[tuple[float, int]], least: int) -> str:
+    kept = [b for b, (share, n) in zip(blocks, cover) if share < COVERED or n < least]
+    return "\n".join(kept or blocks)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: the id, the url, text (of the article, blocks joined by line feeds), n_chars (code points).
 
     Null and empty pages have empty text.  Rows with a null url, or one without a host, are looked at together as one
-    host.  A page of which every block is shared keeps them.  Null or repeated ids don't matter: repeated rows are
-    pages of their own.  An empty table gives no rows; further columns are ignored.
+    host.  A page of which every block is shared keeps them.  Null or repeated ids don't matter: rows of equal blocks
+    on a host are one page and have the same text.  An empty table gives no rows; further columns are ignored.
     """
+    spark = df.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = sizes.filter(F.col("n") > max(2 * TOGETHER, int(total * common.HOT_SHARE))).collect()  # at most 1 / HOT_SHARE
-    shares = F.lit(1)
-    for r in large:
-        shares = F.when(F.col("host") == r["host"], F.lit(-(-r["n"] // TOGETHER))).otherwise(shares)
     kind, url_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "url"))
 
     def parse(batches):
         for batch in batches:
-            found = [candidates(h) for h in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([m for _, m in found], pa.bool_()), batch.column(4)], names=["id", "url", "host", "blocks", "marked", "share"])
-
-    parsed = rows.withColumn("share", F.pmod(F.xxhash64("id", "url"), shares).cast("long")).mapInArrow(parse, f"id {kind}, url {url_kind}, host string, blocks array<string>, marked boolean, share long")
-    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
-    by_host = parsed.repartition(n_parts, "host", "share").sortWithinPartitions("host", "share", F.xxhash64("id", "url"))
+            blocks, marks, contents = [], [], []
+            for own, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found, marked = candidates(h)
+                blocks.append(found)
+                marks.append(marked)
+                whole = "\n".join([own, str(marked), *found]).encode("utf-8", "surrogatepass")
+                contents.append(hashlib.blake2b(whole, digest_size=16).digest() if found else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(contents, pa.binary()), pa.array(blocks, pa.list_(pa.string())), pa.array(marks, pa.bool_())], names=["id", "url", "host", "content", "blocks", "marked"])
+
+    parsed = rows.mapInArrow(parse, f"id {kind}, url {url_kind}, host string, content binary, blocks array<string>, marked boolean")
+    parsed = common.staged(parsed, "parsed")
+    contents = parsed.filter("content is not null").select("host", "content", "blocks", "marked").dropDuplicates(["content"])
+    contents = common.staged(contents, "contents")
+    copies = near_dedup.classes(contents.withColumn("text", F.array_join("blocks", "\n")), "content", "text", size=SHINGLE, threshold=NEAR)
+    pages = contents.join(copies.select("content", F.col("class_id").alias("class")), "content")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = pages.groupBy("host").agg(F.sum(F.octet_length(F.array_join("blocks", " "))).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    shares = F.lit(1)
+    for r in sizes.filter(F.col("n") > max(2 * TOGETHER, int(total * common.HOT_SHARE))).collect():  # at most 1 / HOT_SHARE
+        shares = F.when(F.col("host") == r["host"], F.lit(-(-r["n"] // TOGETHER))).otherwise(shares)
+    placed = pages.withColumn("share", F.pmod(F.xxhash64("content"), shares).cast("long"))
+    by_host = placed.repartition(n_parts, "host", "share").sortWithinPartitions("host", "share", "content")
 
     def by_runs(batches):
         held, key, size = [], None, 0
 
         def out():
-            texts = main_texts([(b, m) for _, _, b, m in held])
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], ids), pa.array([h[1] for h in held], urls), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+            texts = main_texts([(b, m) for _, b, m, _ in held], [c for *_, c in held])
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.binary()), pa.array(texts, pa.string())], names=["content", "text"])
 
         for batch in batches:
-            ids, urls = batch.schema.field("id").type, batch.schema.field("url").type
-            for i, url, host, blocks, marked, share in zip(*(c.to_pylist() for c in batch.columns)):
+            for content, host, blocks, marked, class_, share in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and ((host, share) != key or size > TOGETHER):
                     yield out()
                     held, size = [], 0
                 key = host, share
-                held.append((i, url, blocks, marked))
+                held.append((content, blocks, marked, class_))
                 size += sum(map(len, blocks))
         if held:
             yield out()
 
-    done = by_host.mapInArrow(by_runs, f"id {kind}, url {url_kind}, text string, n_chars long")
+    by_host = by_host.select("content", "host", "blocks", "marked", "class", "share")
+    texts = common.staged(by_host.mapInArrow(by_runs, "content binary, text string"), "texts")
+    found = parsed.filter("content is not null").select("id", "url", "content").join(texts, "content").select("id", "url", "text")
+    empty = parsed.filter("content is null").select("id", "url", F.lit("").alias("text"))
+    done = found.unionByName(empty).withColumn("n_chars", F.char_length("text").cast("long"))
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

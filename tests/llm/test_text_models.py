@@ -178,3 +178,18 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert clean <= kept[3] and not {i for i in kept[3] if i and i >= 5000}
     packed = corpus_pipeline.STAGES[4][1](spark, current, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == kept[3]
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    rng = random.Random(11)
+    base, other = [sentence(rng, 40) for _ in range(8)], [[sentence(rng, 40) for _ in range(8)] for _ in range(4)]
+    near = [base[:k % 8] + [base[k % 8] + f" changed {k}"] + base[k % 8 + 1 :] for k in range(12)]
+    exact = [base] * 12
+    for pages in (exact, near):
+        for marked in (True, False):
+            host = f"{'m' if marked else 'u'}.example"
+            body = lambda p: "".join(f"<p>{b}</p>" for b in p)
+            rows = [(k, f"http://{host}/{k}", f"<article>{body(p)}</article>" if marked else body(p)) for k, p in enumerate(pages + other)]
+            got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+            assert got == {k: "\n".join(p) for k, p in enumerate(pages + other)}
+    assert html_extract.main_texts([([b], True) for b in base] * 3 + [(["a " * 20], True)] * 3, list(range(27))) == base * 3 + ["a " * 20] * 3
