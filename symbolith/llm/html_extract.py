@@ -11,8 +11,9 @@ two pages share; inside a marked article only text that most pages of a large ho
 quote and copy each other.  Copies and near copies of a page (classes of ``near_dedup``) count as one page, so that a
 text isn't boilerplate because it was published again; a page of which every block is shared keeps them.
 
-Pages are dealt by host; a host with much text is dealt into salted shares, and a task looks at a few MB of a host at
-a time, so memory doesn't depend on the size of a host.
+A host whose distinct pages have at most ``TOGETHER`` characters is one window of one task.  On a larger one the same
+runs are told apart by 64-bit hashes: (run, classes of pages that have it) is aggregated over the whole host and joined
+back to the places of the runs, so the counts are the host's, and neither memory nor results depend on shares.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common, near_dedup
 from .near_dedup import _words
 
-#: Words of a substring that counts when repeated (a power of two), characters of a host looked at together.
+#: Words of a substring that counts when repeated (a power of two), characters of a host that a task looks at together.
 RUN, TOGETHER = 16, 4_000_000
 #: Similarity of the candidate blocks from which two pages are near copies, and words of a shingle.
 NEAR, SHINGLE = 0.8, 5
@@ -210,60 +211,75 @@ def ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def covered(pages: list[list[np.ndarray]], classes: list[int], run: int) -> list[list[tuple[float, int]]]:
-    """Of each block of each page: the share of its words that repeated runs cover, and the classes of pages that have
-    its commonest run.
+class _Layout:
+    """Blocks of word hashes in a row, and the places where a run begins.
 
     A run stays inside a block, or is the whole of a shorter one; words and marks of block ends are the tokens.
     """
-    flat, page_of, block_of, sizes = [], [], [], []
-    for p, blocks in zip(classes, pages):
-        for b in blocks:
-            # an end mark of its own kind fills the block up to the length of a run, so that short blocks compare whole
-            pad = np.full(max(1, run - len(b)), 1, np.uint64)
-            flat += [b, pad]
-            page_of.append(p)
-            sizes.append((len(b), len(pad)))
-    if not flat:
+
+    def __init__(self, blocks: list[np.ndarray], run: int):
+        # an end mark of its own kind fills the block up to the length of a run, so that short blocks compare whole
+        flat = [x for b in blocks for x in (b, np.full(max(1, run - len(b)), 1, np.uint64))]
+        self.run, self.tokens = run, np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+        self.lengths = np.array([len(b) for b in blocks], np.int64)
+        total = self.lengths + np.maximum(1, run - self.lengths)
+        self.begins = np.cumsum(total) - total
+        self.block_of = np.repeat(np.arange(len(blocks)), total)
+        place = np.arange(len(self.tokens)) - self.begins[self.block_of]
+        self.where = np.flatnonzero(place <= np.maximum(self.lengths[self.block_of] - run, 0))
+
+    def hashes(self) -> np.ndarray:
+        """Of each run."""
+        total = np.full(len(self.where), self.run, np.uint64)
+        for k in range(self.run):
+            total = near_dedup._mixed(total * near_dedup.GOLDEN + self.tokens[self.where + k])
+        return total
+
+    def cover(self, often: np.ndarray) -> list[tuple[float, int]]:
+        """Of each block: the share of its words that repeated runs cover, and the classes of its commonest run, given
+        how many classes have each run."""
+        edge = np.zeros(len(self.tokens) + 1, np.int64)
+        shared = self.where[often >= PAGES]
+        np.add.at(edge, shared, 1)
+        np.add.at(edge, np.minimum(shared + self.run, self.begins[self.block_of[shared]] + self.lengths[self.block_of[shared]]), -1)
+        under = np.cumsum(edge[:-1]) > 0
+        share = np.bincount(self.block_of, weights=under, minlength=len(self.lengths)) / np.maximum(1, self.lengths)
+        most = np.zeros(len(self.lengths), np.int64)
+        np.maximum.at(most, self.block_of[self.where], often)
+        return list(zip(share.tolist(), most.tolist()))
+
+
+def covered(pages: list[list[np.ndarray]], classes: list[int], run: int) -> list[list[tuple[float, int]]]:
+    """``_Layout.cover`` of the blocks of each page, by ranks of suffixes over all pages."""
+    laid = _Layout([b for blocks in pages for b in blocks], run)
+    if not len(laid.tokens):
         return [[] for _ in pages]
-    tokens = np.concatenate(flat)
-    lengths = np.array(sizes, np.int64)
-    total = lengths.sum(1)
-    begins = np.cumsum(total) - total
-    block_of = np.repeat(np.arange(len(sizes)), total)
-    place = np.arange(len(tokens)) - begins[block_of]
-    rank = ranks(tokens, run)
-    starts = place <= np.maximum(lengths[block_of, 0] - run, 0)
-    where = np.flatnonzero(starts)
-    page = np.array(page_of)[block_of[where]]
-    pairs = np.unique(np.stack([rank[where], page]), axis=1)[0] if len(where) else np.zeros(0, np.int64)
-    kinds, n_pages = np.unique(pairs, return_counts=True)
-    often = n_pages[np.searchsorted(kinds, rank[where])]
-    edge = np.zeros(len(tokens) + 1, np.int64)
-    shared = where[often >= PAGES]
-    np.add.at(edge, shared, 1)
-    np.add.at(edge, np.minimum(shared + run, begins[block_of[shared]] + lengths[block_of[shared], 0]), -1)
-    under = np.cumsum(edge[:-1]) > 0
-    share = np.bincount(block_of, weights=under, minlength=len(sizes)) / np.maximum(1, lengths[:, 0])
-    most = np.zeros(len(sizes), np.int64)
-    np.maximum.at(most, block_of[where], often)
-    out, at = [], 0
-    for blocks in pages:
-        out.append([(float(share[at + k]), int(most[at + k])) for k in range(len(blocks))])
-        at += len(blocks)
-    return out
+    page = np.repeat(np.array(classes), [len(blocks) for blocks in pages])[laid.block_of[laid.where]]
+    rank = ranks(laid.tokens, run)[laid.where]
+    kinds, n_pages = np.unique(np.unique(np.stack([rank, page]), axis=1)[0], return_counts=True)
+    each = iter(laid.cover(n_pages[np.searchsorted(kinds, rank)]))
+    return [[next(each) for _ in blocks] for blocks in pages]
+
+
+def _hashed(blocks: list[str]) -> list[np.ndarray]:
+    hashes = _words()
+    return [np.fromiter(map(hashes.__getitem__, b.split()), np.uint64) for b in blocks]
+
+
+def _many(pages: int) -> int:
+    """Pages that make a run boilerplate inside the marked articles of a host of so many."""
+    return max(LEAST_PAGES, int(np.ceil(SHARE * pages)))
 
 
 def main_texts(pages: list[tuple[list[str], bool]], classes: list | None = None) -> list[str]:
-    """Main text of each page of one host (or a share of it), given as candidate blocks and whether it marks its article.
+    """Main text of each page of one host, given as candidate blocks and whether it marks its article.
 
     Pages of one class are copies and count once; without ``classes`` those of equal blocks.
     """
-    hashes = _words()
-    words = [[np.fromiter(map(hashes.__getitem__, b.split()), np.uint64) for b in blocks] for blocks, _ in pages]
+    words = [_hashed(blocks) for blocks, _ in pages]
     kinds: dict = {}
     numbers = [kinds.setdefault(k, len(kinds)) for k in (classes or [tuple(b) for b, _ in pages])]
-    many = max(LEAST_PAGES, int(np.ceil(SHARE * len(kinds))))
+    many = _many(len(kinds))
     return [kept_text(blocks, cover, many if marked else PAGES) for (blocks, marked), cover in zip(pages, covered(words, numbers, RUN))]
 
 
@@ -300,37 +316,72 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     contents = parsed.filter("content is not null").select("host", "content", "blocks", "marked").dropDuplicates(["content"])
     contents = common.staged(contents, "contents")
     copies = near_dedup.classes(contents.withColumn("text", F.array_join("blocks", "\n")), "content", "text", size=SHINGLE, threshold=NEAR)
-    pages = contents.join(copies.select("content", F.col("class_id").alias("class")), "content")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = pages.groupBy("host").agg(F.sum(F.octet_length(F.array_join("blocks", " "))).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    shares = F.lit(1)
-    for r in sizes.filter(F.col("n") > max(2 * TOGETHER, int(total * common.HOT_SHARE))).collect():  # at most 1 / HOT_SHARE
-        shares = F.when(F.col("host") == r["host"], F.lit(-(-r["n"] // TOGETHER))).otherwise(shares)
-    placed = pages.withColumn("share", F.pmod(F.xxhash64("content"), shares).cast("long"))
-    by_host = placed.repartition(n_parts, "host", "share").sortWithinPartitions("host", "share", "content")
+    pages = common.staged(contents.join(copies.select("content", F.col("class_id").alias("class")), "content"), "pages")
+    pages = pages.select("content", "host", "blocks", "marked", "class")
+    sizes = pages.groupBy("host").agg(F.sum(F.char_length(F.array_join("blocks", ""))).alias("n"))
+    sizes = common.staged(sizes, "hosts")
+    large = F.broadcast(sizes.filter(F.col("n") > TOGETHER).select("host"))  # at most one for each TOGETHER characters
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (sizes.agg(F.sum("n")).first()[0] or 0) // (16 << 20))
+    texts = _by_window(pages.join(large, "host", "left_anti"), n_parts)
+    if sizes.filter(F.col("n") > TOGETHER).head(1):
+        texts = texts.unionByName(_by_counts(pages.join(large, "host")))
+    texts = common.staged(texts, "texts")
+    found = parsed.filter("content is not null").select("id", "url", "content").join(texts, "content").select("id", "url", "text")
+    empty = parsed.filter("content is null").select("id", "url", F.lit("").alias("text"))
+    done = found.unionByName(empty).withColumn("n_chars", F.char_length("text").cast("long"))
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+
+
+def _by_window(pages: DataFrame, n_parts: int) -> DataFrame:
+    """content, text of the pages (content, host, blocks, marked, class), a host at a time."""
 
     def by_runs(batches):
-        held, key, size = [], None, 0
+        held, key = [], None
 
         def out():
             texts = main_texts([(b, m) for _, b, m, _ in held], [c for *_, c in held])
             return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.binary()), pa.array(texts, pa.string())], names=["content", "text"])
 
         for batch in batches:
-            for content, host, blocks, marked, class_, share in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and ((host, share) != key or size > TOGETHER):
+            for content, host, blocks, marked, class_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and host != key:
                     yield out()
-                    held, size = [], 0
-                key = host, share
+                    held = []
+                key = host
                 held.append((content, blocks, marked, class_))
-                size += sum(map(len, blocks))
         if held:
             yield out()
 
-    by_host = by_host.select("content", "host", "blocks", "marked", "class", "share")
-    texts = common.staged(by_host.mapInArrow(by_runs, "content binary, text string"), "texts")
-    found = parsed.filter("content is not null").select("id", "url", "content").join(texts, "content").select("id", "url", "text")
-    empty = parsed.filter("content is null").select("id", "url", F.lit("").alias("text"))
-    done = found.unionByName(empty).withColumn("n_chars", F.char_length("text").cast("long"))
-    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    by_host = pages.repartition(n_parts, "host").sortWithinPartitions("host").select("content", "host", "blocks", "marked", "class")
+    return by_host.mapInArrow(by_runs, "content binary, text string")
+
+
+def _by_counts(pages: DataFrame) -> DataFrame:
+    """The same for hosts of any size: a run's classes are counted over the host and joined back to its places."""
+
+    def lay(batches):
+        for batch in batches:
+            seeds, out = batch.column(2).to_numpy(), []
+            for seed, blocks in zip(seeds, batch.column(3).to_pylist()):
+                out.append(near_dedup._mixed(_Layout(_hashed(blocks), RUN).hashes() ^ seed.view(np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.int64()))], names=["content", "class", "runs"])
+
+    laid = pages.select("content", "class", F.xxhash64("host").alias("seed"), "blocks").mapInArrow(lay, "content binary, class binary, runs array<bigint>")
+    counts = laid.select("class", F.explode("runs").alias("run")).distinct().groupBy("run").agg(F.count("*").alias("n"))
+    counts = common.staged(counts.filter(F.col("n") >= PAGES), "runs")
+    places = laid.select("content", F.posexplode("runs").alias("at", "run")).join(counts, "run")
+    places = places.groupBy("content").agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    totals = F.broadcast(pages.select("host", "class").distinct().groupBy("host").agg(F.count("*").alias("total")))  # large hosts
+    joined = pages.join(totals, "host").join(places, "content", "left")
+
+    def finish(batches):
+        for batch in batches:
+            texts = []
+            for blocks, marked, total, at, n in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                laid = _Layout(_hashed(blocks), RUN)
+                often = np.ones(len(laid.where), np.int64)
+                often[at or []] = n or []
+                texts.append(kept_text(blocks, laid.cover(often), _many(total) if marked else PAGES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["content", "text"])
+
+    return joined.select("content", "blocks", "marked", "total", "found.at", "found.n").mapInArrow(finish, "content binary, text string")

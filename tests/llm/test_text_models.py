@@ -193,3 +193,20 @@ def test_copies_of_a_page_are_one_page(spark):
             got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
             assert got == {k: "\n".join(p) for k, p in enumerate(pages + other)}
     assert html_extract.main_texts([([b], True) for b in base] * 3 + [(["a " * 20], True)] * 3, list(range(27))) == base * 3 + ["a " * 20] * 3
+
+
+def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
+    rng = random.Random(12)
+    notices = [sentence(rng, n) for n in (5, 20, 40)]
+    rows = []
+    for k in range(40):
+        own = [sentence(rng, n) for n in (3, 30, 60, 15)]
+        shared = [notices[0], notices[1]] + [notices[2]] * (k % 20 == 0)  # the last on two pages only
+        body = "".join(f"<p>{b}</p>" for b in shared + own)
+        rows.append((k, f"http://{'big' if k < 39 else 'small'}.example/{k}", f"<main>{body}</main>" if k % 4 == 0 else body))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert not any(n in whole[k] for n in notices[:2] for k in range(39)) and all(n in whole[39] for n in notices[:2])
+    assert [k for k in range(39) if notices[2] in whole[k]] == [0, 20]  # marked, and not most of the host
+    monkeypatch.setattr(html_extract, "TOGETHER", 600)
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == whole
