@@ -2,7 +2,7 @@
 
 Markup: a page is read once into blocks; what lies in menus, headers, footers, sidebars, forms, notices, adverts,
 comments, scripts and the like is left out, by element and by words of class, id and role.  If the page marks its
-article (article, main), the blocks are those inside it.
+article (article, main, articleBody), the blocks are all those inside the outermost such elements.
 
 Host suffix array: the blocks of a host's pages are concatenated as word streams; suffixes are ranked by prefix
 doubling up to ``RUN`` words, so equal ranks are substrings of that length, and those on enough distinct pages cover
@@ -47,6 +47,8 @@ CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"])
 #: Words of class, id or role that mark what isn't the article; the weaker ones not beside a word of the article.
 STRONG = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promoted promotion comment comments disqus respond replies cookie cookies consent gdpr newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs popup modal login complementary contentinfo navigation".split())
 WEAK = frozenset("header footer menu nav navbar sidebar banner notice notices alert widget toolbar search pagination".split())
+#: ... that an article element of its own is left out for.
+ASIDE = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promoted promotion comment comments related recommended".split())
 ARTICLE = frozenset("article content main post entry story body text".split())
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -90,16 +92,16 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
         if key.lower() == "role" and value.strip("\"'").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
             return True
     if name == "article":
-        return bool(found & {"comment", "comments", "related", "recommended", "promo", "sponsored"})
+        return bool(found & ASIDE)
     return bool(found & STRONG) or bool(found & WEAK) and not found & ARTICLE and not (inside and found & {"header"})
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, int, float]], bool]:
-    """Blocks as (text, number of the marked article it is in or 0, share of characters in links); whether any is marked."""
-    blocks: list[tuple[str, int, float]] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # name, left out, article
+def blocks_of(page: str) -> tuple[list[tuple[str, bool, float]], bool]:
+    """Blocks as (text, whether it is in a marked article, share of characters in links); whether any is marked."""
+    blocks: list[tuple[str, bool, float]] = []
+    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, left out, in an article
     parts: list[tuple[str, bool]] = []
-    links = articles = 0
+    links = 0
 
     def flush() -> None:
         if parts:
@@ -174,10 +176,10 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, float]], bool]:
         _, out, article = stack[-1]
         attributes = page[got.end() : end]
         if not out:
-            out = _unwanted(name, attributes, article > 0)
-        if not out and (name in ("article", "main") or "articleBody" in attributes) and not (article and name == "main"):
-            articles += 1
-            article = articles
+            out = _unwanted(name, attributes, article)
+        if not (out or article) and (name in ("article", "main") or "articleBody" in attributes):
+            flush()
+            article = True
         if out and not stack[-1][1]:
             flush()
         links += name == "a"
@@ -191,12 +193,7 @@ def candidates(page: str | None) -> tuple[list[str], bool]:
     blocks, marked = blocks_of(page or "")
     if not marked:
         return [t for t, _, linked in blocks if linked < LINKED], False
-    sizes: dict[int, int] = {}
-    for t, article, _ in blocks:
-        sizes[article] = sizes.get(article, 0) + len(t)
-    sizes.pop(0, None)
-    most = max(sizes.values())
-    return [t for t, article, _ in blocks if article and sizes[article] >= most / 4], True
+    return [t for t, article, _ in blocks if article], True
 
 
 def ranks(tokens: np.ndarray, depth: int) -> np.ndarray:

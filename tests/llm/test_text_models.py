@@ -210,3 +210,15 @@ def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
     assert [k for k in range(39) if notices[2] in whole[k]] == [0, 20]  # marked, and not most of the host
     monkeypatch.setattr(html_extract, "TOGETHER", 600)
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == whole
+
+
+def test_all_parts_of_a_marked_article_stay():
+    long = "long " * 200
+    cases = [
+        (f"<main><h1>Title</h1><p>lead</p><article><p>{long}</p></article><p>end</p></main>", ["Title", "lead", long.strip(), "end"]),
+        (f"<article><h1>Title</h1><div itemprop=articleBody><p>{long}</p></div></article>", ["Title", long.strip()]),
+        (f"<article><p>{long}</p></article><p>between</p><article><p>short</p></article>", [long.strip(), "short"]),
+        (f"<article><p>{long}</p><article class=comment><p>no</p></article><article class='ad'><p>no</p></article><article class=related-post><p>no</p></article></article>", [long.strip()]),
+    ]
+    for page, blocks in cases:
+        assert html_extract.candidates(page) == (blocks, True)
