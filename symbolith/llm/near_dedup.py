@@ -1,6 +1,7 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Signatures: a text is the weighted set of its word shingles (weight 1 + ln of the count).  Each shingle sends arrivals
+Signatures: a text is the set of its word shingles, of weight 1 each, so that candidates come from the similarity that
+is verified (``weights`` has other schemes).  Each shingle sends arrivals
 of an exponential race to the registers of the signature, in ascending order and each register once (spacings of the
 order statistics); a register keeps the shingle that arrives first.  Shingles stop as soon as their next arrival is
 later than every register's first, so most of them send few.  Two texts agree in a register with the probability
@@ -195,7 +196,7 @@ def components(nodes: DataFrame, edges: DataFrame, name: str = "components") ->
             return labels
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, threshold: float = 0.8, bands: int = BANDS, band_size: int = BAND_SIZE, weights: str = "log") -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, threshold: float = 0.8, bands: int = BANDS, band_size: int = BAND_SIZE, weights: str = "set") -> DataFrame:
     """One row per input row: the id, digest (of its text), class_id (smallest id of the class), class_size (rows),
     is_first (the row that stays when the class is thinned out to one).
 

@@ -139,3 +139,17 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     assert near_dedup.classes(frame(spark, [])).count() == 0
     assert exact_dedup.exact_dedup(frame(spark, [(None, None)])).collect() == [Row(doc_id=None, keep_id=None, group_size=1, kept=True, text_sha256=hashlib.sha256(b"").hexdigest())]
+
+
+def test_near_copies_that_repeat_lines_differently(spark):
+    rng, rows = random.Random(8), []
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    for pair in range(60):
+        line, rest = [word() for _ in range(100)], [word() for _ in range(100)]
+        other = list(rest)
+        for k in (20, 45, 70):
+            other[k] = word()
+        rows += [(2 * pair, " ".join(line + rest)), (2 * pair + 1, " ".join(line * 100 + other))]
+        assert jaccard(rows[-1][1], rows[-2][1]) >= 0.8
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
