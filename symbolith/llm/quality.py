@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 4
+ORDER = 5
 #: Bits of a symbol: 0 begin, 1 to 256 bytes, 257 end.
 BITS, END = 9, 257
 BROADCAST_ROWS = 6_000_000
@@ -30,7 +30,7 @@ BROADCAST_ROWS = 6_000_000
 CALIBRATE = 5
 #: Quantile of their perplexity, what it is multiplied by, and the least threshold as a multiple of their median, for
 #: languages with few of them.
-QUANTILE, SLACK, LEAST = 0.997, 1.1, 1.4
+QUANTILE, SLACK, LEAST = 0.997, 1.1, 1.25
 #: The perplexity of a short text varies more: it is divided by exp(SHORT / sqrt(symbols)) for the comparison.
 SHORT = 2.0
 #: Characters whose n-grams are looked at together.

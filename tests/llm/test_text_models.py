@@ -222,3 +222,10 @@ def test_all_parts_of_a_marked_article_stay():
     ]
     for page, blocks in cases:
         assert html_extract.candidates(page) == (blocks, True)
+
+
+def test_the_model_grows_with_trusted_text(spark):
+    rng = random.Random(13)
+    texts = [("en", "".join(rng.choice("abcdefgh") for _ in range(2000))) for _ in range(20)]
+    size = lambda rows: quality.count_grams(spark.createDataFrame(rows, "lang string, text string")).filter("lang = 'en'").count()
+    assert size(texts) > 1.3 * size(texts[:10])
