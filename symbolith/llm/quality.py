@@ -28,9 +28,9 @@ BITS, END = 9, 257
 BROADCAST_ROWS = 6_000_000
 #: Every so many trusted rows, by the id's hash, the model isn't trained on: thresholds come from them.
 CALIBRATE = 5
-#: Quantile of their perplexity, what it is multiplied by, and the least threshold as a multiple of their median, for
-#: languages with few of them.
-QUANTILE, SLACK, LEAST = 0.997, 1.1, 1.25
+#: Quantile of their perplexity that is a language's threshold; of fewer than 1 / (1 - quantile) rows it would be their
+#: maximum, set by one odd text: their median times FEW then.
+QUANTILE, FEW = 0.99, 1.25
 #: The perplexity of a short text varies more: it is divided by exp(SHORT / sqrt(symbols)) for the comparison.
 SHORT = 2.0
 #: Characters whose n-grams are looked at together.
@@ -247,13 +247,13 @@ def trusted_rows(df: DataFrame, labels: DataFrame, id_col: str, label_col: str)
     return labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted_id")).distinct()
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", *, quantile: float = QUANTILE, slack: float = SLACK, broadcast_rows: int = BROADCAST_ROWS, held_out: Column | None = None) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", *, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS, held_out: Column | None = None) -> DataFrame:
     """One row per input row: the id, digest (of its text), model (language of the model that scored it), perplexity,
     threshold, kept.
 
     Trusted are the rows that ``labels`` gives 1, but for those of ``held_out``.  One in CALIBRATE of them isn't
-    trained on.  A text is kept if its perplexity, allowing for its length, is at most the threshold of its model:
-    ``slack`` times their quantile, or LEAST times their median if that is more.  Null counts as empty, which
+    trained on.  A text is kept if its perplexity, allowing for its length, is at most the threshold of its model,
+    their ``quantile`` in its language (FEW times the median of less than 1 / (1 - quantile) rows).  Null counts as empty, which
     is one end mark; null or unknown languages use the model of all languages.  Without any trusted text nothing is
     known: perplexity and threshold are null and all rows are kept.  Further columns are ignored.
     """
@@ -268,7 +268,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scores = common.staged(perplexities(df, model, id_col, text_col, lang_col, broadcast_rows=broadcast_rows), "perplexities")
     fair = F.col("perplexity") * F.exp(-SHORT / F.sqrt("symbols"))
     known = scores.join(trusted.filter(apart), scores["id"] == F.col("trusted_id"), "left_semi")
-    limit = F.greatest(F.percentile_approx(fair, quantile, 100_000) * slack, F.percentile_approx(fair, 0.5, 100_000) * LEAST)
+    limit = F.when(F.count("*") * (1 - quantile) >= 1 - 1e-9, F.percentile_approx(fair, quantile, 100_000)).otherwise(F.percentile_approx(fair, 0.5, 100_000) * FEW)
     limits, everywhere = known.groupBy("model").agg(limit.alias("threshold")), known.agg(limit.alias("any_threshold"))
     limits = scores.select("model").distinct().join(limits, "model", "left").join(F.broadcast(everywhere))  # one row a language
     limits = limits.select("model", F.coalesce("threshold", "any_threshold").alias("threshold"))

@@ -229,3 +229,17 @@ def test_the_model_grows_with_trusted_text(spark):
     texts = [("en", "".join(rng.choice("abcdefgh") for _ in range(2000))) for _ in range(20)]
     size = lambda rows: quality.count_grams(spark.createDataFrame(rows, "lang string, text string")).filter("lang = 'en'").count()
     assert size(texts) > 1.3 * size(texts[:10])
+
+
+def test_an_odd_trusted_text_does_not_set_the_threshold(spark):
+    rng = random.Random(14)
+    odd = lambda: " ".join("".join(rng.choice("bcdfghjpqvwxyz") for _ in range(6)) for _ in range(60))
+    apart = {r.id for r in spark.range(1500).filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(quality.CALIBRATE)) == 0).collect()}
+    docs = [(i, sentence(rng), "en") for i in range(1500)]
+    for i in sorted(apart)[:2]:
+        docs[i] = (i, odd(), "en")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in docs], "doc_id long, quality int")
+    df = spark.createDataFrame(docs + [(2000 + k, odd(), "en") for k in range(20)], "doc_id long, text string, lang string")
+    got = quality.classify(df, labels).collect()
+    assert not any(r.kept for r in got if r.doc_id >= 2000)
+    assert sum(not r.kept for r in got if r.doc_id < 1500) <= 0.02 * 1500
