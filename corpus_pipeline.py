@@ -44,7 +44,8 @@ STAGES = [
     ("near_dedup", near_copies),
     ("packing", pack),
 ]
-#: No SQL expresses the classifiers; tests/llm/test_pipeline.py holds the stages against brute force.
+#: No SQL expresses the classifiers; tests/llm/test_text_models.py checks what each stage keeps of planted rows, not every
+#: row against a brute-force version.
 ORACLE_SQL = None
 
 
