@@ -25,9 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in a single process, one of our own where it is
+    unset."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -52,11 +56,27 @@ def text_of(column: Column | str) -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
-def hot_keys(counts: DataFrame, n: str = "n") -> list:
-    """Rows of ``counts`` (one a key, with its rows in column ``n``) whose keys are hot: at most 1 / HOT_SHARE."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    limit = max(HOT_ROWS, int(total * HOT_SHARE))
-    return counts.filter(F.col(n) > limit).collect()
+def quoted(name: str) -> str:
+    """A column's name as an expression that means this column, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _unordered(df: DataFrame, name: str) -> bool:
+    """Whether the column's type has no order."""
+    kind = df.schema[name].dataType.simpleString()
+    return "map<" in kind or "variant" in kind
+
+
+def only(df: DataFrame, id_col: str, digest: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``df``, all their columns, whose id and ``digest`` are in ``kept`` (id, digest); of rows that repeat
+    both, the one whose further columns are least (maps by their JSON)."""
+    rest = {c: F.col(quoted(c)) for c in df.columns if c != id_col}
+    own = df.select(F.col(quoted(id_col)).alias("own_id"), digest.alias("own_digest"), F.struct(*(x.alias(c) for c, x in rest.items())).alias("row"), F.struct(*(F.to_json(F.struct(x.alias("x"))) if _unordered(df, c) else x for c, x in rest.items())).alias("order"))
+    least = F.min_by("row", "order") if any(_unordered(df, c) for c in rest) else F.min("row")
+    single = own.groupBy("own_id", "own_digest").agg(least.alias("row"))
+    match = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest"))
+    found = single.join(kept.hint("merge"), match, "left_semi")
+    return found.select(*[(F.col("row").getField(c) if c in rest else F.col("own_id")).alias(c) for c in df.columns])
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -100,12 +100,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block: int = BLOCK) -> DataFrame:
-    """The rows of ``df`` that ``exact_dedup`` keeps, all their columns: one row of each group of equal texts."""
-    kept = exact_dedup(df, id_col, text_col, block=block).filter("kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__text"))
-    rest = [c for c in df.columns if c != id_col]
-    keyed = df.withColumn("__digest", F.unhex(F.sha2(normalised(text_col), 256)))
-    # Rows that repeat an id and its text become one, the smallest, before and after the shuffle.
-    single = keyed.groupBy(id_col, "__digest").agg(F.min(F.struct(*rest)).alias("__row"))
-    match = single[id_col].eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text"))
-    found = single.join(kept.hint("merge"), match, "left_semi")
-    return found.select(*[F.col(c) if c == id_col else F.col(f"__row.{c}").alias(c) for c in df.columns])
+    """The rows of ``df`` that ``exact_dedup`` keeps, all their columns: one row of each group of equal texts; of rows
+    that repeat id and text the one whose further columns are least (``common.only``)."""
+    kept = exact_dedup(df, id_col, text_col, block=block).filter("kept")
+    kept = kept.select(F.col(common.quoted(id_col)).alias("id"), F.unhex("text_sha256").alias("digest"))
+    return common.only(df, id_col, F.unhex(F.sha2(normalised(common.quoted(text_col)), 256)), kept)

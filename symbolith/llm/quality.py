@@ -277,8 +277,9 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def without_rejected(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that ``classify`` keeps, all their columns."""
-    kept = classify(df, labels, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("__id"), F.col("digest").alias("__text")).distinct()
-    own = df.withColumn("__digest", F.unhex(F.sha2(common.text_of(text_col), 256)))
-    match = own[id_col].eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text"))
-    return own.join(kept, match, "left_semi").drop("__digest")
+    """The rows of ``df`` that ``classify`` keeps, all their columns, repeated rows too."""
+    kept = classify(df, labels, id_col, text_col, **options).filter("kept").select(F.col(common.quoted(id_col)).alias("id"), "digest").distinct()
+    digest = F.unhex(F.sha2(common.text_of(common.quoted(text_col)), 256))
+    own = df.select(F.struct(*(F.col(common.quoted(c)).alias(c) for c in df.columns)).alias("row"), F.col(common.quoted(id_col)).alias("own_id"), digest.alias("own_digest"))
+    match = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest"))
+    return own.join(kept, match, "left_semi").select(*(F.col("row").getField(c).alias(c) for c in df.columns))
