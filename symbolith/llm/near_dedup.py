@@ -9,14 +9,15 @@ Jaccard similarity of their weighted sets.
 
 Classes: texts of equal words are one node.  Signatures are cut into bands; nodes that share a band are candidates.
 Candidates are verified by the exact Jaccard similarity of their shingle sets, and linked nodes form classes.  A large
-bucket is never paired out: in each of a few rounds every node is compared with a leader of its bucket that is of
-another class so far; what such rounds have left apart is compared in full, the smaller side against the bucket.
+bucket is never paired out.  In each round its open nodes are compared with their leader, the one that shares most
+buckets with other nodes; those of the leader's class are closed.  When rounds link next to nothing more, nodes of
+different classes in a bucket are compared if prefix filtering leaves them a chance; that is exact, so no link is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from . import common
 
 #: At a similarity of 0.8, 48 bands of 7 registers miss a pair with a probability of 1e-5.
 BANDS, BAND_SIZE = 48, 7
-#: Rounds in which buckets have one leader.
-LEADER_ROUNDS = 3
+#: Rounds of leaders go on while more than this share of what they compare is linked.
+LEAST_YIELD = 0.02
+#: Pairs of a node that are verified in one task, and the ratio of the sizes in one class.
+PAIRS_TOGETHER, SIZE_STEP = 500, 1.03
 #: A similarity that is less than the threshold by rounding only reaches it.
 EVEN = 1e-9
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -169,15 +172,20 @@ def shingle_sets(df: DataFrame, text_col: str, key_col: str, size: int) -> DataF
     return df.select(key_col, text_col).mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
+def _beside(pairs: DataFrame, sets: DataFrame, side: str, name: str) -> DataFrame:
+    """``pairs`` with the set of its column ``side`` as ``name``; a node in many pairs is split by salting."""
+    busy = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_TOGETHER).cast("int").alias("salts"))
+    right = sets.withColumnsRenamed({"node": side, "shingles": name}).join(busy, side)
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    salted = pairs.join(busy, side).withColumn("salt", F.pmod(F.xxhash64("a", "b"), "salts").cast("int")).drop("salts")
+    return salted.join(right, [side, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least so similar.  A node in many pairs as b is split by salting."""
-    busy = pairs.groupBy("b").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
-    right = sets.withColumnsRenamed({"node": "b", "shingles": "right"}).join(busy, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    salted = pairs.join(busy, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")
-    both = salted.join(sets.withColumnsRenamed({"node": "a", "shingles": "left"}), "a").join(right.drop("salts"), ["b", "salt"])
-    common_ = F.size(F.array_intersect("left", "right"))
-    both = both.select("a", "b", common_.alias("n"), (F.size("left") + F.size("right")).alias("m"))
-    return both.filter(F.col("n") >= F.lit(threshold) * (F.col("m") - F.col("n")) - EVEN).select("a", "b")
+    """The pairs (a, b, further columns) whose sets are at least so similar."""
+    both = _beside(_beside(pairs, sets, "b", "right"), sets, "a", "left")
+    both = both.select(*pairs.columns, F.size(F.array_intersect("left", "right")).alias("n"), (F.size("left") + F.size("right")).alias("m"))
+    return both.filter(F.col("n") >= F.lit(threshold) * (F.col("m") - F.col("n")) - EVEN).drop("n", "m")
 
 
 def components(nodes: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
@@ -211,7 +219,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, si
     keyed = rows.groupBy("key").agg(rep, F.count("*").alias("n"), F.max("bands").alias("bands"))
     keyed = common.staged(keyed.select("key", "rep", "n", "bands", F.monotonically_increasing_id().alias("node")), "nodes")
     members = keyed.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = common.staged(members.join(common.staged(shared, "shared"), "bucket"), "buckets")
     nodes = common.staged(shared.select("node").distinct(), "candidates")
     labels = linked_labels(shared, nodes, _sets_of(df, id_col, text_col, keyed, nodes, size), threshold)
@@ -232,56 +240,81 @@ def _sets_of(df: DataFrame, id_col: str, text_col: str, keyed: DataFrame, nodes:
 
 
 def linked_labels(shared: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """node, component: the classes of the candidates that share buckets, by verified links."""
-    labels, edges = nodes.select("node", F.col("node").alias("component")), None
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = shared.join(labels, "node")
-        if turn < LEADER_ROUNDS:
-            leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("leader")
-            leaders = common.staged(placed.groupBy("bucket").agg(leader), "leaders")
-            pairs = placed.join(leaders, "bucket").filter("component <> leader.component")
-            pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("leader")).select("a", F.col("leader.node").alias("b"))
-        else:
-            pairs = apart(placed.join(shared_counts(sets), "node"), threshold)
-        pairs = common.staged(pairs, "pairs")
-        if pairs.head(1):
-            linked = common.staged(verified(pairs, sets, threshold), "linked")
-            edges = linked if edges is None else edges.union(linked)
-            labels = components(nodes, edges)
-    return labels
+    """node, component: the classes of the candidates that share buckets (bucket, node, n: its nodes), by verified links."""
+    degrees = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    open_ = common.staged(shared.join(degrees, "node").select("bucket", "node", "degree"), "open")
+    labels, going = nodes.select("node", F.col("node").alias("component")), True
+    while going:
+        placed = open_.join(labels, "node")
+        leaders = placed.groupBy("bucket").agg(F.max(F.struct("degree", "node", "component")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
+        led = placed.join(leaders.drop("n"), "bucket").filter("node <> leader.node")
+        led = common.staged(led.select("bucket", "node", "degree", "component", F.col("leader.node").alias("to"), F.col("leader.component").alias("to_component")), "led")
+        pairs = led.filter("component <> to_component").select(F.col("node").alias("a"), F.col("to").alias("b"), "component", "to_component")
+        pairs = common.staged(pairs.distinct(), "pairs")
+        linked = common.staged(verified(pairs, sets, threshold), "linked")
+        found = linked.count()
+        going = found > LEAST_YIELD * pairs.count()
+        if found:
+            labels = merged(labels, linked)
+            here, there = labels.select("node", F.col("component").alias("own")), labels.select(F.col("node").alias("to"), F.col("component").alias("led_by"))
+            open_ = common.staged(led.join(here, "node").join(there, "to").filter("own <> led_by").select("bucket", "node", "degree"), "open")
+    pairs = common.staged(by_prefix(apart(shared, labels), sets, threshold), "pairs")
+    return merged(labels, verified(pairs, sets, threshold)) if pairs.head(1) else labels
+
+
+def merged(labels: DataFrame, linked: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after the components of linked nodes (component, to_component) have become one."""
+    edges = common.staged(linked.select(F.col("component").alias("a"), F.col("to_component").alias("b")).distinct(), "edges")
+    met = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    become = components(met, edges).select(F.col("node").alias("component"), F.col("component").alias("become"))
+    return common.staged(labels.join(become, "component", "left").select("node", F.coalesce("become", "component").alias("component")), "labels")
+
+
+def apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, component of the nodes in buckets of several components."""
+    placed = shared.select("bucket", "node").join(labels, "node")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    return common.staged(placed.join(mixed, "bucket").select("node", "component").distinct(), "apart")
+
+
+def by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, component, to_component) of different components that may be similar: prefix filtering, exact.
+
+    Each set is put in the order of its shingles' frequency, rare ones first.  Sets of m and n shingles reach the
+    threshold t with t / (1 + t) * (m + n) shingles in common, so their first common one, at places i and j, must have
+    so many shingles behind it in either set; t / (1 + t) * (m + n) <= min(m - i, n - j).  Places at which that can't
+    hold, and shingles that lie in one component only, go.  Entries meet by shingle and by the classes of both sizes,
+    so that only sizes meet that the places allow; those of a shingle's commonest component don't meet each other.
+    """
+    share, step = threshold / (1 + threshold), float(np.log(SIZE_STEP))
+    each = nodes.join(sets, "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    kinds = counts.groupBy("shingle").agg(F.sum("n").alias("often"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
+    kinds = common.staged(kinds.select("shingle", "often", F.col("top.component").alias("main"), (F.col("parts") > 1).alias("spread")), "kinds")
+    entry = F.struct("often", "shingle", "main", "spread")
+    ordered = each.join(kinds, "shingle").groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    able = ordered.filter(F.size(F.filter("entries", lambda e: e["spread"])) >= threshold * F.col("size") - EVEN)
+    entries = able.select("node", "component", "size", F.posexplode("entries").alias("place", "e")).filter("e.spread")
+    behind, size = F.col("size") - F.col("place"), F.col("size")
+    # sizes of partners that a place allows
+    most = F.least(behind / share - size, size / threshold) + EVEN
+    class_of = lambda x: F.floor(F.log(x) / step).cast("int")
+    entries = entries.withColumn("most", most).filter(F.col("most") >= threshold * size - EVEN)
+    classes_ = F.sequence(class_of(F.greatest(threshold * size - EVEN, F.lit(1.0))), class_of(F.greatest("most", F.lit(1.0))))
+    entries = entries.select("node", "component", "size", behind.alias("behind"), "e.shingle", (F.col("e.main") == F.col("component")).alias("is_main"), class_of(size).alias("own_class"), F.explode(classes_).alias("class"))
+    entries = common.staged(entries, "entries")
+    left = entries.filter(~F.col("is_main")).select("shingle", F.col("own_class").alias("left_class"), F.col("class").alias("right_class"), F.col("node").alias("a"), "component", F.col("size").alias("a_size"), F.col("behind").alias("a_behind"))
+    right = entries.select("shingle", F.col("class").alias("left_class"), F.col("own_class").alias("right_class"), F.col("node").alias("b"), F.col("component").alias("to_component"), "size", "behind", "is_main")
+    keys = ["shingle", "left_class", "right_class"]
+    right = right.withColumnsRenamed({k: f"b_{k}" for k in keys})
+    meet = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"b_{k}") for k in keys])
+    enough = F.least("a_behind", "behind") >= share * (F.col("a_size") + F.col("size")) - EVEN
+    pairs = left.join(right, meet & (F.col("component") != F.col("to_component")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & enough)
+    return pairs.select("a", "b", "component", "to_component").distinct()
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that come first in their class, all their columns; of repeated rows one."""
-    kept = classes(df, id_col, text_col, **options).filter("is_first").select(F.col(id_col).alias("__id"), F.col("digest").alias("__text"))
-    rest = [c for c in df.columns if c != id_col]
-    single = df.withColumn("__digest", digest_of(text_col)).groupBy(id_col, "__digest").agg(F.min(F.struct(*rest)).alias("__row"))
-    found = single.join(kept.hint("merge"), single[id_col].eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text")), "left_semi")
-    return found.select(*[F.col(c) if c == id_col else F.col(f"__row.{c}").alias(c) for c in df.columns])
-
-
-def shared_counts(sets: DataFrame) -> DataFrame:
-    """node, size (its shingles), common (those that another candidate has as well)."""
-    alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n"))
-    alone = alone.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sized = sets.select("node", F.size("shingles").alias("size")).join(alone, "node", "left")
-    return common.staged(sized.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "counts")
-
-
-def apart(placed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes that share a bucket and not a component and may be similar: all nodes outside a bucket's largest
-    component, each with every node of the bucket that is in another one.
-
-    What two sets share is at most what each shares with any set; pairs that this keeps below the threshold, such as
-    two copies with many changes of their own, are left out, and no others.
-    """
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = common.staged(placed.join(common.staged(largest, "largest").select("bucket", F.col("top.component").alias("main")), "bucket"), "mixed")
-    possible = mixed.filter(F.col("common") >= threshold * F.col("size") - EVEN)
-    few = possible.filter("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("mine"), F.col("size").alias("a_size"), F.col("common").alias("a_common"))
-    rest = possible.select(F.col("bucket").alias("b_bucket"), F.col("node").alias("b"), F.col("component").alias("other"), "main", "size", "common")
-    most = F.least("a_common", "common")
-    meet = (F.col("bucket") == F.col("b_bucket")) & (F.col("mine") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("a") < F.col("b")))
-    pairs = few.join(rest, meet & (most >= F.lit(threshold) * (F.col("a_size") + F.col("size") - most) - EVEN))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """The rows of ``df`` that come first in their class, all their columns; of rows that repeat id and text the one
+    whose further columns are least (``common.only``)."""
+    kept = classes(df, id_col, text_col, **options).filter("is_first").select(F.col(common.quoted(id_col)).alias("id"), "digest")
+    return common.only(df, id_col, digest_of(common.quoted(text_col)), kept)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -128,11 +129,109 @@ def test_register_agreement_estimates_probability_jaccard():
 
 
 def test_stragglers_are_compared_in_full(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", 0)
     rows = near_rows()[:40]
-    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()}
-    monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", 3)
-    assert got == {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()}
+    want = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()}
+    # no leaders at all: whatever shares a bucket goes to the prefix filter
+    monkeypatch.setattr(near_dedup, "LEAST_YIELD", 1.0)
+    shut = lambda shared, nodes, sets, t: near_dedup.merged(nodes.select("node", near_dedup.F.col("node").alias("component")), near_dedup.verified(near_dedup.by_prefix(near_dedup.apart(shared, nodes.select("node", near_dedup.F.col("node").alias("component"))), sets, t), sets, t))
+    monkeypatch.setattr(near_dedup, "linked_labels", shut)
+    assert want == {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()}
+
+
+def diverging(n=160, size=120, seed=4):
+    """Sets around one centre, each with changes of its own, some of them shared."""
+    rng = random.Random(seed)
+    centre = rng.sample(range(10**6), size)
+    pool = [rng.sample(range(10**6, 2 * 10**6), 5) for _ in range(30)]
+    sets = []
+    for _ in range(n):
+        own = set(centre)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(size - 5)
+            own -= set(centre[at : at + 4])
+            own |= set(rng.choice(pool) if rng.random() < 0.4 else rng.sample(range(2 * 10**6, 3 * 10**6), 4))
+        if rng.random() < 0.2:
+            own = set(list(own)[: rng.randint(60, 120)])
+        sets.append(sorted(own))
+    return sets
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_prefix_filter_loses_no_link(spark, threshold):
+    sets = diverging()
+    similar = lambda a, b: len(set(sets[a]) & set(sets[b])) >= threshold * len(set(sets[a]) | set(sets[b])) - 1e-9
+    # components: a third of the sets in one, the others alone
+    component = [0 if k % 3 == 0 else k for k in range(len(sets))]
+    want = {(a, b) for a, b in combinations(range(len(sets)), 2) if component[a] != component[b] and similar(a, b)}
+    nodes = spark.createDataFrame([*enumerate(component)], "node long, component long")
+    table = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "node long, shingles array<bigint>")
+    got = near_dedup.by_prefix(nodes, table, threshold)
+    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in got.collect()}
+    assert want and want <= pairs
+    if threshold == 0.8:
+        assert len(pairs) < 0.4 * len(sets) ** 2 / 2  # most of those that can't be similar don't meet
+    linked = near_dedup.verified(got, table, threshold).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in linked} == want
+    assert all(r.component == component[r.a] and r.to_component == component[r.b] for r in linked)
+
+
+def test_near_dedup_finds_the_pairs_of_the_table(spark):
+    """Whole documents of sf0.01 against all pairs by an inverted index: at least 0.9 of the pairs in one class, none
+    of different components together."""
+    path = Path("/root/testdata/sf0.01")
+    if not path.exists():
+        pytest.skip("no tables")
+    docs = common.table(spark, str(path), "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := t.lower().split())}
+    places = {}
+    for i, s in sets.items():
+        for x in s:
+            places.setdefault(x, []).append(i)
+    shared = {}
+    for ids in places.values():
+        for pair in combinations(ids, 2):
+            shared[pair] = shared.get(pair, 0) + 1
+    links = [p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n) - 1e-9]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert len(links) > 50 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    blank = [i for i in texts if i not in sets]
+    for a, b in [*links, *zip(blank, blank[1:])]:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(find(i) == find(c) for i, c in got.items())
+
+
+@pytest.mark.parametrize("thin", [exact_dedup.without_copies, near_dedup.without_near_copies])
+def test_any_further_columns_come_through(spark, thin):
+    schema = "doc_id long, text string, m map<string,int>, `a.b` array<int>, `__digest` binary, id string, row int, digest int, own_id int"
+    row = lambda i, t, n: (i, t, {"k": n}, [n], b"own", "x", n, n, None)
+    df = spark.createDataFrame([row(1, "some words of a text here", 7), row(1, "some words of a text here", 5), row(2, "some words of a text here", 1), row(3, "others", 2), row(4, None, 3), row(None, "", 4)], schema)
+    out = thin(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r["a.b"], r.m, r.row, bytes(r["__digest"])) for r in out.collect()), key=str) == [(1, [5], {"k": 5}, 5, b"own"), (3, [2], {"k": 2}, 2, b"own"), (4, [3], {"k": 3}, 3, b"own")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, applicationId = "local-cluster[3,2,1024]", "x"
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
 
 
 def test_empty_tables(spark):
