@@ -150,13 +150,76 @@ def test_shared_blocks_of_unmarked_pages_go():
     assert marked == ["\n".join([menu, *o, legal]) for o in own]
 
 
-def test_ranks_equal_substrings():
+def test_suffix_order_and_repeats():
     rng = np.random.default_rng(4)
-    tokens = rng.integers(0, 3, 200).astype(np.uint64)
-    rank = html_extract.ranks(tokens, 8)
-    pad = np.concatenate([tokens, np.full(8, 9, np.uint64)])
-    pieces = [tuple(pad[i : i + 8].tolist()) for i in range(200)]
-    assert all((pieces[i] == pieces[j]) == (rank[i] == rank[j]) for i in range(0, 200, 7) for j in range(193))
+    for n, kinds in ((1, 1), (2, 1), (40, 1), (300, 2), (300, 40)):
+        tokens = rng.integers(0, kinds, n).astype(np.uint64)
+        assert html_extract.suffix_order(tokens).tolist() == sorted(range(n), key=lambda i: tokens[i:].tolist())
+    assert html_extract.suffix_order(np.zeros(0, np.uint64)).tolist() == []
+    blocks = [rng.integers(2, 5, rng.integers(1, 30)).astype(np.uint64) for _ in range(24)] + [np.arange(10, 50).astype(np.uint64)] * 2
+    page_of = np.arange(26) // 3
+    laid = html_extract._Layout(np.concatenate(blocks), np.array(list(map(len, blocks))), 4)
+    places, lengths, pages = laid.repeats(page_of)
+    runs = {}
+    for k, b in enumerate(blocks):
+        for i in range(max(1, len(b) - 3)):
+            runs.setdefault(tuple(b[i : i + 4].tolist()), []).append(page_of[k])
+    own = lambda i: tuple(t for t in laid.tokens[i : i + 4].tolist() if t != 1)
+    assert {own(i): n for i, n in zip(places.tolist(), pages.tolist())} == {r: len(set(p)) for r, p in runs.items() if len(p) > 1}
+    assert max(lengths) >= 40  # the long substring as a whole
+
+
+def host_texts(pages, classes):
+    """Main texts of one host's pages by definition: every run of every block, counted over all pages."""
+    n, run = len(set(classes)), html_extract.RUN
+    having = {}
+    spans = lambda w: [(i, min(i + run, len(w))) for i in range(max(1, len(w) - run + 1))]
+    for (blocks, _), c in zip(pages, classes):
+        for b in blocks:
+            w = b.split()
+            for i, j in spans(w):
+                having.setdefault((j - i < run, *w[i:j]), set()).add(c)
+    out = []
+    for blocks, marked in pages:
+        some, most = max(2, math.ceil(0.05 * n)), max(10, math.ceil(0.6 * n))
+        under = {least: [[any(i <= k < j and len(having[j - i < run, *w[i:j]]) >= least for i, j in spans(w)) for k in range(len(w))] for w in map(str.split, blocks)] for least in (some, most)}
+        first, cut = under[most if marked else some], under[most]
+        if marked and sum(map(sum, first)) > 0.5 * sum(map(len, first)):
+            out.append("\n".join(blocks))
+            continue
+        kept = [" ".join(w for w, c in zip(b.split(), cut[k]) if not c) for k, b in enumerate(blocks) if sum(first[k]) < 0.8 * len(first[k])]
+        out.append("\n".join(kept or blocks))
+    return out
+
+
+@pytest.mark.parametrize("together", [4_000_000, 20_000, 1500])
+def test_host_step_equals_brute_force(spark, monkeypatch, together):
+    monkeypatch.setattr(html_extract, "TOGETHER", together)
+    rng = random.Random(21)
+    rows, want = [], {}
+    for host, size in (("a", 60), ("b", 14), ("c", 3), ("d", 1)):
+        common_ = [sentence(rng, n) for n in (3, 18, 25, 40, 70)]
+        pages = []
+        for k in range(size):
+            blocks = [sentence(rng, rng.randint(1, 50)) for _ in range(rng.randint(1, 5))]
+            for c, share in zip(common_, (1, 0.7, 0.3, 0.1, 0.03)):
+                if rng.random() < share:
+                    blocks.insert(rng.randrange(len(blocks) + 1), c)
+            if rng.random() < 0.7:  # inside another block
+                blocks[0] += " " + common_[1]
+            pages.append((blocks, k % 3 == 0))
+        pages += [pages[0], pages[-1]]  # copies
+        classes = [repr(p) for p in pages]
+        for k, ((blocks, marked), text) in enumerate(zip(pages, host_texts(pages, classes))):
+            body = "".join(f"<p>{b}</p>" for b in blocks)
+            rows.append((f"{host}{k}", f"http://{host}.example/{k}", f"<main>{body}</main>" if marked else body))
+            want[f"{host}{k}"] = text
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(5))
+    got = {r.page_id: r.text for r in got.collect()}
+    # pages that near_dedup takes for copies would count once; there are none but the planted ones
+    assert got == want
+    plain = {r[0]: "\n".join(html_extract.candidates(r[2])[0]) for r in rows}
+    assert sum(plain[k] != want[k] for k in want) > 30  # only the host step does that
 
 
 def test_pipeline_stages(spark, corpus, tmp_path):
@@ -192,7 +255,6 @@ def test_copies_of_a_page_are_one_page(spark):
             rows = [(k, f"http://{host}/{k}", f"<article>{body(p)}</article>" if marked else body(p)) for k, p in enumerate(pages + other)]
             got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
             assert got == {k: "\n".join(p) for k, p in enumerate(pages + other)}
-    assert html_extract.main_texts([([b], True) for b in base] * 3 + [(["a " * 20], True)] * 3, list(range(27))) == base * 3 + ["a " * 20] * 3
 
 
 def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
