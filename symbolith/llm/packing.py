@@ -6,11 +6,13 @@ The plan depends on the histogram of piece lengths alone, at most ``capacity`` n
    as the longest of its group, so only a few sizes are left;
 2. configurations of these sizes (what fits into one sequence) are optimised by column generation: a linear program
    over the groups whose new columns come from a knapsack; its whole part is taken;
-3. in configurations of three places or more the actual lengths take the places of their groups, longest first; the
-   last place stays open, as rounding up has left it larger than its group asks for, and so do pairs, which best fit
-   finds from the actual lengths;
+3. configurations with the longest sizes first, the actual lengths take the places of their groups, longest first; as
+   actual lengths are shorter than their group counts for, the last place of a configuration takes the longest large
+   length that fits, whichever its group, and the first place the length of its group that leaves the least room then;
 4. what is left of the large ones, then the small ones, go best-fit into the sequence with the least room that holds
-   them; sequences of equal content are handled together as one with a multiplicity.
+   them; sequences of equal content are handled together as one with a multiplicity;
+5. of the plans by some numbers of groups, and of best fit for all lengths in descending order, the one with the fewest
+   sequences is used (one by configurations where best fit has as many).
 
 A piece finds its place by its length and its rank among the pieces of that length; ranks are counted inside salted
 shares of a length, so that a common length doesn't meet in one task.
@@ -19,8 +21,8 @@ shares of a length, so that a common length doesn't meet in one task.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,9 @@ from . import bpe, common
 
 #: Pieces longer than this share of a sequence are large.
 LARGE = 1 / 8
-GROUPS = 48
-#: Pieces of one length that are ranked in one task at most, about.
+#: Numbers of groups that are tried.
+GROUPS = (64, 48, 32)
+#: Pieces of one length that are ranked in one task at most, about; less if that is a large share of all.
 RANKED_TOGETHER = 200_000
 
 
@@ -110,6 +113,9 @@ class Sequences:
             insort(self.rooms, room)
         self.by_room[room].append((content, n))
 
+    def count(self) -> int:
+        return sum(n for held in self.by_room.values() for _, n in held)
+
     def best_fit(self, length: int, n: int) -> None:
         """Puts ``n`` pieces of one length, each where the least room is left."""
         while n:
@@ -133,45 +139,69 @@ class Sequences:
             n -= full * each
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> np.ndarray:
-    """Places by (length, rank): rows of length, first rank, rank behind the last, first sequence, offset."""
-    sequences = Sequences(capacity)
-    large = {x: n for x, n in histogram.items() if LARGE * capacity < x and n}
-    small = {x: n for x, n in histogram.items() if 0 < x <= LARGE * capacity and n}
-    if large:
-        parts = groups_of(large, groups)
-        sizes = np.array([g[0][0] for g in parts], np.int64)
-        demand = np.array([sum(n for _, n in g) for g in parts], float)
-        same = {int(s): sum(demand[sizes == s]) for s in sizes}  # equal sizes are one row of the program
-        merged = [[p for g, s in zip(parts, sizes) if s == size for p in g] for size in same]
-        for column, n in configurations(np.array([*same], np.int64), np.array([*same.values()]), capacity):
-            slots = [g for g, k in enumerate(column) for _ in range(int(k))]
-            slots = slots[:-1]
-            if len(slots) < 2:  # a pair is what best fit finds from the actual lengths
-                continue
-            while n:  # instances in a row whose actual lengths are the same
-                lengths, step = [], n
-                for g in set(slots):
-                    k = slots.count(g)
-                    step = min(step, max(1, merged[g][0][1] // k))
-                taken = []
-                for g in slots:  # one instance may take from several lengths
-                    length, have = merged[g][0]
-                    if have < step * slots.count(g):
-                        step = 1
-                for g in slots:
-                    length, have = merged[g][0]
-                    taken.append(length)
-                    if have == step:
-                        merged[g].pop(0)
-                    else:
-                        merged[g][0] = (length, have - step)
-                sequences.add(tuple(taken), step)
-                n -= step
-        for length, n in sorted((p for g in merged for p in g), reverse=True):
-            sequences.best_fit(length, n)
-    for length in sorted(small, reverse=True):
-        sequences.best_fit(length, small[length])
+def by_configurations(large: dict[int, int], capacity: int, groups: int) -> tuple[Sequences, dict[int, int]]:
+    """Sequences of the optimised configurations, and how many pieces of each large length are left."""
+    parts, members, demand = groups_of(large, groups), defaultdict(set), defaultdict(float)
+    for part in parts:  # equal sizes are one row of the program
+        size = part[0][0]
+        members[size].update(x for x, _ in part)
+        demand[size] += sum(n for _, n in part)
+    sizes = np.array([*demand], np.int64)
+    chosen = [(sorted(np.repeat(sizes, column).tolist(), reverse=True), n) for column, n in configurations(sizes, np.array([*demand.values()]), capacity)]
+    lengths = {size: sorted(own, reverse=True) for size, own in members.items()}
+    left, known, sequences = dict(large), sorted(large), Sequences(capacity)
+
+    def instance(places: list[int], first: int) -> tuple[int, Counter]:
+        """Room that is left and actual lengths, if the first place takes ``first``."""
+        taken, room = Counter([first]), capacity - first
+        for k, size in enumerate(places[1:], 2):
+            own = reversed(known[: bisect_right(known, room)]) if k == len(places) else (x for x in lengths[size] if x <= room)
+            if (found := next((x for x in own if left[x] > taken[x]), None)) is None:
+                break
+            taken[found] += 1
+            room -= found
+        return room, taken
+
+    for places, n in sorted(chosen, reverse=True):
+        # instances in a row whose actual lengths are the same; each turn uses up a length or the configuration
+        while n and (options := [x for x in lengths[places[0]] if left[x]]):
+            _, taken = min((instance(places, x) for x in options), key=lambda found: found[0])
+            times = min(n, *(left[x] // k for x, k in taken.items()))
+            sequences.add(tuple(sorted(taken.elements(), reverse=True)), times)
+            for x, k in taken.items():
+                left[x] -= k * times
+                if not left[x]:
+                    known.remove(x)
+            n -= times
+    return sequences, left
+
+
+def packed(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = GROUPS) -> tuple[Sequences, int]:
+    """The best of the plans, and how many pieces configurations have placed in it."""
+    histogram = {x: n for x, n in histogram.items() if x > 0 and n}
+    large = {x: n for x, n in histogram.items() if LARGE * capacity < x}
+    plain = Sequences(capacity)
+    for length in sorted(histogram, reverse=True):
+        plain.best_fit(length, histogram[length])
+    if not large:
+        return plain, 0
+    plans = []
+    for k in groups:
+        sequences, left = by_configurations(large, capacity, k)
+        rest = histogram | left
+        for length in sorted(rest, reverse=True):
+            sequences.best_fit(length, rest[length])
+        plans.append((sequences, sum(large.values()) - sum(left.values())))
+    return min([*plans, (plain, 0)], key=lambda p: p[0].count())
+
+
+def plan(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = GROUPS) -> np.ndarray:
+    """Places by (length, rank): rows of length, first rank, rank behind the last, first sequence, offset.
+
+    Each turn of planning uses up a length, a configuration or a kind of sequence, so the rows are some thousands for
+    a capacity of 1024 however many pieces there are.
+    """
+    sequences, _ = packed(histogram, capacity, groups)
     rows, rank, first = [], defaultdict(int), 0
     for room in sorted(sequences.by_room):
         for content, n in sequences.by_room[room]:
@@ -181,7 +211,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> np.n
                 rank[length] += n
                 offset += length
             first += n
-    assert all(rank[x] == n for x, n in (large | small).items())
+    assert all(rank[x] == n for x, n in histogram.items() if x > 0 and n)
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
@@ -229,7 +259,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = plan(histogram, capacity)
     # Ranks: rows of a length are dealt into salted shares, counted inside each, and set off by the shares before.
-    shares = spark.createDataFrame([(x, max(1, -(-n // RANKED_TOGETHER))) for x, n in histogram.items()] or [(0, 1)], "length long, shares long")
+    together = min(RANKED_TOGETHER, max(common.HOT_ROWS, int(sum(histogram.values()) * common.HOT_SHARE)))
+    shares = spark.createDataFrame([(x, -(-n // together)) for x, n in histogram.items()] or [(0, 1)], "length long, shares long")
     dealt = cut.join(F.broadcast(shares), "length").withColumn("share", F.expr("pmod(xxhash64(id, piece, start, nth), shares)")).drop("shares")
     window = Window.partitionBy("length", "share")
     ranked = dealt.withColumn("rank", F.row_number().over(window.orderBy("id", "piece", "ids_crc32", "nth")) - 1)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -141,6 +142,41 @@ def test_plans_are_about_as_short_as_the_bound(seed):
     assert n <= (500 if seed == 2 else 1.01 * lengths.sum() / 1024 + 1)  # of 999 pieces of 342 two fit together
 
 
+def descending_best_fit(lengths, capacity):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= x]
+        rooms.remove(best) if (best := min(fits, default=None)) is not None else None
+        rooms.append((capacity if best is None else best) - x)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("low, high, n", [(1, 1024, 3000), (280, 420, 2000), (130, 700, 2500), (1, 60, 500), (400, 400, 301)])
+def test_plans_by_configurations_are_never_longer_than_best_fit(low, high, n):
+    lengths = np.random.default_rng(low).integers(low, high + 1, n).tolist()
+    histogram = {x: lengths.count(x) for x in set(lengths)}
+    sequences, _ = packing.packed(histogram, 1024)
+    content = [x for held in sequences.by_room.values() for c, k in held for _ in range(k) for x in c]
+    assert sorted(content) == sorted(lengths)
+    assert sequences.count() <= descending_best_fit(lengths, 1024)
+    if low == 280:  # where best fit pairs the longest, three of the shorter ones fit together
+        assert sequences.count() < 0.95 * descending_best_fit(lengths, 1024)
+
+
+def test_packing_the_tables_by_configurations(spark):
+    path = Path("/root/testdata/sf0.1")
+    if not path.exists():
+        pytest.skip("no tables")
+    rows = packing.pieces(spark.read.parquet(f"{path}/documents.parquet"), "doc_id", "text", JSON, 1024, 2)
+    histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
+    sequences, placed = packing.packed(histogram, 1024)
+    plain = packing.Sequences(1024)
+    for x in sorted(histogram, reverse=True):
+        plain.best_fit(x, histogram[x])
+    assert sequences.count() <= plain.count() <= 9872
+    assert placed > 0.8 * sum(n for x, n in histogram.items() if x > packing.LARGE * 1024)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_transducer.token_counts(empty, vocabulary=JSON).count() == 0
