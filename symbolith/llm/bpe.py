@@ -7,15 +7,15 @@ import heapq
 import json
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-import tiktoken
 
 from . import common, pretoken
 
-#: Pre-tokens of more bytes than this merge through a heap instead of repeated passes.
-HEAP_FROM = 48
+#: Pre-tokens of more bytes than this merge through a heap, shorter ones side by side in matrices of these widths.
+WIDTHS = (4, 8, 12, 16, 24, 48)
+#: No merge; ids are below 2 ** ID_BITS.
+NEVER, ID_BITS = np.iinfo(np.int64).max, 21
 
 
 def byte_signs() -> dict[str, int]:
@@ -32,37 +32,86 @@ class Vocabulary:
         self.tokens, self.pairs, self.special = tokens, pairs, special
         self.bytes_of = {i: b for b, i in tokens.items()}
         self.first = [tokens[bytes([b])] for b in range(256)]
-        # Where ids rise with the merges' ranks, the library's pair merging gives the same ids as ``encode``.
-        new = [i for _, i in sorted(pairs.values())] if pairs is not None else [0]
-        same = all(x < y for x, y in zip(new, new[1:])) and (not pairs or new[0] > max(self.first))
-        self.core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=tokens, special_tokens={})._core_bpe if same else None
+        if pairs is None:  # whatever two tokens become a token together, by its rank
+            pairs = {(tokens[t[:k]], tokens[t[k:]]): (i, i) for t, i in tokens.items() for k in range(1, len(t)) if t[:k] in tokens and t[k:] in tokens}
+        self.table = pairs
+        keys = np.fromiter((a << ID_BITS | b for a, b in pairs), np.int64, len(pairs))
+        ranked = np.array([*pairs.values()], np.int64).reshape(-1, 2)
+        order = np.argsort(keys)
+        # rank and new id in one number, which orders merges as the rank does
+        self.keys, self.merges = np.append(keys[order], NEVER), np.append((ranked[:, 0] << ID_BITS | ranked[:, 1])[order], NEVER)
 
     def merged(self, a: int, b: int) -> tuple[int, int] | None:
         """Rank and id of what two neighbours become, None if they don't merge."""
-        if self.pairs is not None:
-            return self.pairs.get((a, b))
-        got = self.tokens.get(self.bytes_of[a] + self.bytes_of[b])
-        return None if got is None else (got, got)
+        return self.table.get((a, b))
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank merges first, the leftmost of equal ones."""
         if (whole := self.tokens.get(data)) is not None and (self.pairs is None or len(data) == 1):
             return [whole]
-        ids = [self.first[b] for b in data]
-        if len(ids) > HEAP_FROM:
-            return self._by_heap(ids)
-        ranks = [self.merged(a, b) for a, b in zip(ids, ids[1:])]
-        while True:
-            best = min((r[0] for r in ranks if r is not None), default=None)
-            if best is None:
-                return ids
-            i = next(k for k, r in enumerate(ranks) if r is not None and r[0] == best)
-            ids[i : i + 2] = [ranks[i][1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = self.merged(ids[i - 1], ids[i])
-            if i < len(ranks):
-                ranks[i] = self.merged(ids[i], ids[i + 1])
+        return self._by_heap([self.first[b] for b in data])
+
+    def _look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What neighbours merge to (rank and id); NEVER beyond the end of a row, where ids are -1."""
+        key = a.astype(np.int64) << ID_BITS | b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == key) & (b >= 0), self.merges[at], NEVER)
+
+    def _side_by_side(self, ids: np.ndarray) -> np.ndarray:
+        """The encodings of the rows of a matrix, filled up with -1; each round merges one pair of every row."""
+        out, rows = np.full_like(ids, -1), np.arange(len(ids))
+        merges = self._look_up(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            at = merges.argmin(1) if merges.shape[1] else np.zeros(len(rows), np.int64)
+            best = merges[np.arange(len(rows)), at] if merges.shape[1] else np.full(len(rows), NEVER)
+            done = best == NEVER
+            if done.any():
+                out[rows[done], : ids.shape[1]] = ids[done]
+                rows, ids, merges, at, best = rows[~done], ids[~done], merges[~done], at[~done], best[~done]
+                if not len(rows):
+                    break
+            before = np.arange(ids.shape[1] - 1) <= at[:, None]
+            ids = np.where(before, ids[:, :-1], ids[:, 1:])
+            merges = np.where(before[:, :-1], merges[:, :-1], merges[:, 1:])
+            k = np.arange(len(rows))
+            ids[k, at] = best & ((1 << ID_BITS) - 1)
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < ids.shape[1] - 1)
+            merges[left, at[left] - 1] = self._look_up(ids[left, at[left] - 1], ids[left, at[left]])
+            merges[right, at[right]] = self._look_up(ids[right, at[right]], ids[right, at[right] + 1])
+        return out
+
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pre-tokens in a row, and how many each has."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        counts, found = np.zeros(len(pieces), np.int64), []
+        data, begins = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+        first, lower = np.array(self.first, np.int32), 0
+        for width in WIDTHS:
+            rows = np.flatnonzero((size > lower) & (size <= width))
+            lower = width
+            if len(rows):
+                column = np.arange(width)
+                inside = column < size[rows][:, None]
+                ids = np.full((len(rows), width), -1, np.int32)
+                ids[inside] = first[data[(begins[rows][:, None] + column)[inside]]]
+                ids = self._side_by_side(ids)
+                if self.pairs is None:  # tokens that no merges lead to
+                    whole = [self.tokens.get(pieces[k], -1) for k in rows.tolist()]
+                    hit = np.array(whole) >= 0
+                    ids[hit], ids[hit, 0] = -1, np.array(whole)[hit]
+                counts[rows] = (ids >= 0).sum(1)
+                found.append((rows, ids[ids >= 0]))
+        for k in np.flatnonzero(size > lower).tolist():
+            ids = self.encode(pieces[k])
+            counts[k] = len(ids)
+            found.append((np.array([k]), np.array(ids, np.int32)))
+        # each part is in the order of its rows: to their places
+        out, ends = np.zeros(int(counts.sum()), np.int32), np.cumsum(counts)
+        for rows, ids in found:
+            own = counts[rows]
+            out[np.arange(len(ids)) + np.repeat(ends[rows] - own - (np.cumsum(own) - own), own)] = ids
+        return out, counts
 
     def _by_heap(self, ids: list[int]) -> list[int]:
         n = len(ids)
@@ -111,14 +160,7 @@ def load(path: str) -> Vocabulary:
 
 def encoder(vocabulary: Vocabulary):
     """A function from pre-tokens to their ids in a row and how many each has."""
-    one = vocabulary.encode if vocabulary.core is None else vocabulary.core.encode_single_piece
-
-    def make(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [one(p.encode("utf-8", "surrogatepass")) for p in pieces]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter(chain.from_iterable(each), np.int32, int(size.sum())), size
-
-    return make
+    return lambda pieces: vocabulary.encode_all([p.encode("utf-8", "surrogatepass") for p in pieces])
 
 
 def split_special(texts: list[str], vocabulary: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -153,7 +153,7 @@ class Batch:
         hashes = np.add.reduceat(mix[points] * powers[place], begins)
         keep = np.ones(len(begins), bool)
         keep[seps] = False
-        self.begins, self.lengths, self.hashes = begins[keep], lengths[keep], hashes[keep]
+        self.points, self.begins, self.lengths, self.hashes = points, begins[keep], lengths[keep], hashes[keep]
 
     def texts(self, rows: np.ndarray) -> list[str]:
         at = self.begins[rows]
@@ -164,8 +164,8 @@ class Cache:
     """Results by pre-token, held in one flat store; ``make(pieces)`` gives their ids in a row and how many each has.
 
     A direct-mapped table maps a hash to its place in the store; a slot holds one pre-token and a newer one replaces
-    it, so memory is bounded by ``slots`` and ``store`` whatever the texts are.  Pre-tokens longer than HASHED code
-    points are made anew each time.
+    it, so memory is bounded by ``slots`` and ``store`` whatever the texts are.  The store has the pre-token itself as
+    well, and a hit counts only if that is equal.  Pre-tokens longer than HASHED code points are made anew each time.
     """
 
     def __init__(self, make, slots: int = 1 << 20, store: int = 4_000_000):
@@ -176,22 +176,36 @@ class Cache:
         self.keys, self.at = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
+        self.text_begin, self.text_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text, self.text_used = np.empty(1 << 16, np.uint32), 0
 
-    def _add(self, pieces: list[str]) -> np.ndarray:
+    def _add(self, batch: Batch, rows: np.ndarray) -> np.ndarray:
         """Puts new pre-tokens into the store; their places in the index."""
-        ids, size = self.make(pieces)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        ids, size = self.make(batch.texts(rows))
+        points, length = gather(batch.points, batch.begins[rows], batch.lengths[rows]), batch.lengths[rows]
+        self.flat, self.text = _room(self.flat, self.used + len(ids)), _room(self.text, self.text_used + len(points))
         self.flat[self.used : self.used + len(ids)] = ids
+        self.text[self.text_used : self.text_used + len(points)] = points
         first = len(self.begin)
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.used += len(ids)
-        return np.arange(first, first + len(pieces), dtype=np.int32)
+        self.text_begin = np.concatenate([self.text_begin, self.text_used + np.cumsum(length) - length])
+        self.size, self.text_size = np.concatenate([self.size, size]), np.concatenate([self.text_size, length])
+        self.used, self.text_used = self.used + len(ids), self.text_used + len(points)
+        return np.arange(first, first + len(rows), dtype=np.int32)
+
+    def _other(self, batch: Batch, rows: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Those of ``rows`` whose pre-token isn't the one at their place ``found``."""
+        length = batch.lengths[rows]
+        other = self.text_size[found] != length
+        rows_, found_, length = rows[~other], found[~other], length[~other]
+        differ = gather(self.text, self.text_begin[found_], length) != gather(batch.points, batch.begins[rows_], length)
+        if differ.any():
+            other[np.flatnonzero(~other)[np.unique(np.repeat(np.arange(len(rows_)), length)[differ])]] = True
+        return rows[other]
 
     def look_up(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         """Begin in ``flat`` and number of ids of each pre-token of the batch."""
-        if self.used > self.limit or len(self.begin) > self.limit // 3:
+        if max(self.used, self.text_used // 2) > self.limit or len(self.begin) > self.limit // 3:
             self.clear()
         slot = (batch.hashes >> np.uint64(17)).astype(np.int64) & (self.slots - 1)
         short = batch.lengths < HASHED
@@ -201,15 +215,24 @@ class Cache:
         rows, long = missing[short[missing]], missing[~short[missing]]
         if len(rows):
             kinds, first, back = np.unique(batch.hashes[rows], return_index=True, return_inverse=True)
-            made = self._add(batch.texts(rows[first]))
+            made = self._add(batch, rows[first])
             found[rows] = made[back]
             at = (kinds >> np.uint64(17)).astype(np.int64) & (self.slots - 1)
             self.keys[at], self.at[at] = kinds, made  # of two new kinds in one slot the last stays in both arrays
         if len(long):
-            found[long] = self._add(batch.texts(long))
+            found[long] = self._add(batch, long)
+        if len(other := self._other(batch, known := np.flatnonzero(short), found[known])):
+            found[other] = self._add(batch, other)
         return self.begin[found], self.size[found]
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, doubled until it holds ``n``."""
+    while n > len(a):
+        a = np.concatenate([a, np.empty_like(a)])
+    return a
+
+
 def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The slices flat[begin : begin + size], one behind the other."""
     total = int(size.sum())

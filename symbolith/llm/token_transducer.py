@@ -59,14 +59,13 @@ class Counter:
             if len(self.fits) > 500_000:
                 self.fits.clear()
             v = self.vocabulary
-            data = v.bytes_of[a] + v.bytes_of[b]
-            ids = v.encode(data) if v.core is None else v.core.encode_single_piece(data)
-            got = self.fits[a, b] = ids == [a, b]
+            got = self.fits[a, b] = v.encode(v.bytes_of[a] + v.bytes_of[b]) == [a, b]
         return got
 
-    def _compile(self, state: int, column: int) -> None:
-        suffix, places = self.states[state]
-        read = suffix + bytes([self.bytes[column]])
+    def _transition(self, state: tuple, byte: int) -> tuple[tuple, int]:
+        """The state after a byte, and the change of the number of tokens."""
+        suffix, places = state
+        read = suffix + bytes([byte])
         for m in range(len(read), 0, -1):
             before, token = places[m - 1], self.vocabulary.tokens.get(read[-m:])
             if token is not None and before is not None and (before[0] < 0 or self.compatible(before[0], token)):
@@ -78,7 +77,10 @@ class Counter:
             read = read[1:]
         # a place counts only while some longer token begins there
         kept = (p and (p[0], p[1] - change) if read[len(read) - 1 - d :] in self.prefixes else None for d, p in enumerate(places[: len(read)]))
-        to = (read, ((token, 0), *kept))
+        return (read, ((token, 0), *kept)), change
+
+    def _compile(self, state: int, column: int) -> None:
+        to, change = self._transition(self.states[state], self.bytes[column])
         if (at := self.ids.get(to)) is None:
             at = self.ids[to] = len(self.states)
             self.states.append(to)
@@ -115,11 +117,15 @@ class Counter:
         return out
 
     def _anew(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """With an emptied table; halves of the batch one after the other where one batch fills it."""
+        """With an emptied table; halves of the batch one after the other where one batch fills it, and a single
+        pre-token state by state without the table."""
         self.clear()
         if len(begins) == 1:
-            piece = data[int(begins[0]) : int(begins[0] + lengths[0])].tobytes()
-            return np.array([len(self.vocabulary.encode(piece))], np.int64)
+            state, total = self.states[0], 0
+            for byte in data[int(begins[0]) : int(begins[0] + lengths[0])].tobytes():
+                state, change = self._transition(state, byte)
+                total += change
+            return np.array([total], np.int64)
         half = len(begins) // 2
         return np.concatenate([self.count(data, begins[:half], lengths[:half]), self.count(data, begins[half:], lengths[half:])])
 

@@ -50,11 +50,28 @@ def test_prefix_scan_composes_maps():
     assert pretoken.compose_prefix(maps).tolist() == expected
 
 
-def test_merging_by_passes_heap_and_core_agree():
+def test_own_merging_equals_the_libraries():
+    pieces = [t.encode() for t in random_texts(600) if t] + [b"a", b"the" * 60, b"!" * 200, "\u00e9".encode(), b" the", b"aaaaaaaaaaa", bytes([0xFF, 0xFE])]
     for path in (JSON, MULTI):
         v = bpe.load(path)
-        for t in random_texts(300) + ["the" * 60, "!" * 200]:
-            assert v.encode(t.encode()) == v.core.encode_single_piece(t.encode()) if t else True
+        library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=v.tokens, special_tokens={})
+        want = [library.encode_ordinary(p.decode()) if p != bytes([0xFF, 0xFE]) else v.encode(p) for p in pieces]
+        assert [v.encode(p) for p in pieces] == want
+        ids, counts = v.encode_all(pieces)
+        ends = np.cumsum(counts)
+        assert [ids[a:b].tolist() for a, b in zip(ends - counts, ends)] == want
+        assert [x.tolist() for x in v.encode_all([])] == [[], []]
+
+
+def test_equal_hashes_do_not_mix_up_pretokens():
+    v = bpe.load(JSON)
+    cache = pretoken.Cache(bpe.encoder(v))
+    for texts in (random_texts(60), random_texts(60, 8), ["one two", "two one", "one two"]):
+        batch = pretoken.Batch(texts)
+        batch.hashes = batch.hashes % np.uint64(5)
+        begin, size = cache.look_up(batch)
+        expected = [i for w in batch.texts(np.arange(len(batch.begins))) for i in v.encode(w.encode())]
+        assert pretoken.gather(cache.flat, begin, size).tolist() == expected
 
 
 def test_cache_is_right_when_it_evicts():
@@ -67,8 +84,9 @@ def test_cache_is_right_when_it_evicts():
         assert pretoken.gather(small.flat, begin, size).tolist() == expected
 
 
-def test_transducer_is_right_when_its_table_is_full():
-    machine = token_transducer.Counter(bpe.load(JSON), max_states=300)
+@pytest.mark.parametrize("max_states", [300, 5])  # one pre-token fills the smaller table
+def test_transducer_is_right_when_its_table_is_full(max_states):
+    machine = token_transducer.Counter(bpe.load(JSON), max_states=max_states)
     t = Tokenizer.from_file(JSON)
     words = [w.encode() for w in "the antidisestablishmentarianism of internationalisation strengthens misunderstandings".split()] * 2
     data = np.frombuffer(b"".join(words), np.uint8)
