@@ -1,8 +1,9 @@
 """Name patterns: analysis on the driver, and the predicate that Spark evaluates.
 
-A pattern is a regular expression that is searched for anywhere in a scope.  Analysis recognises patterns that match
-every name (they become no predicate) and patterns that require a sign no name has (they are an error).  What the
-engine's dialect doesn't have (look-around, back-references, possessive quantifiers) is an error too.
+A pattern is a regular expression that is searched for anywhere in a scope.  It is read into alternatives, each a flat
+sequence of steps, and two questions are asked of them: does every name match (then there is no predicate), and does
+each alternative need a sign that no name has (an error).  What the engine's dialect doesn't have (look-around,
+back-references, possessive quantifiers) is an error too.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from enum import Enum
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,54 +30,89 @@ class Case(Enum):
     SMART = "smart"
 
 
-class Verdict(Enum):
-    IMPOSSIBLE = 0
-    ALL = 1
-    NORMAL = 2
+class Signs(Enum):
+    """How many of the signs that names consist of a step of a pattern takes."""
 
+    NONE, SOME, ALL = range(3)
+
+
+class Step(NamedTuple):
+    """One step of a sequence, reduced to what the two questions need.
+
+    ``needed``: a match must take a sign here.  ``idle``: beside other steps it puts no condition on a name.
+    ``boundary``: a word boundary, which counts as a step without signs once it is captured or repeated.
+    """
+
+    signs: Signs
+    needed: bool = True
+    idle: bool = False
+    boundary: bool = False
+
+
+class Group(NamedTuple):
+    """Alternatives in parentheses, each a sequence of steps."""
+
+    alternatives: list[list[Step]]
+    captured: bool
+
+    def as_step(self) -> Step:
+        """The group as one step of a sequence."""
+        if len(self.alternatives) == len(self.alternatives[0]) == 1:
+            only = self.alternatives[0][0]
+            signs = Signs.NONE if only.boundary or only.needed and only.signs is Signs.NONE else only.signs
+        else:
+            signs = Signs.NONE if all(map(hopeless, self.alternatives)) else Signs.SOME
+        return Step(signs, idle=self.captured and signs is Signs.ALL)
 
-@dataclass(frozen=True)
-class Node:
-    """A part of a pattern: class, repetition, concatenation, alternation, group, look, literal or empty."""
 
-    kind: str
-    parts: tuple = ()
-    text: str = ""
-    least: int = 1
-    most: int | None = 1
+def hopeless(sequence: list[Step]) -> bool:
+    """Whether the sequence needs a sign that no name has."""
+    return any(s.needed and s.signs is Signs.NONE for s in sequence)
+
+
+def unconditional(sequence: list[Step]) -> bool:
+    """Whether every name matches: a lone step that takes all signs (however often), or idle ones side by side."""
+    return sequence[0].signs is Signs.ALL if len(sequence) == 1 else len(sequence) > 1 and all(s.idle for s in sequence)
 
 
 class _Parser:
-    """Reads as much of the dialect as analysis needs; whatever it doesn't know is a literal."""
+    """Reads as much of the dialect as the questions need; whatever it doesn't know is a literal."""
 
     def __init__(self, text: str):
-        self.text, self.at, self.flags = text, 0, ""
+        self.text, self.at = text, 0
 
     def peek(self, n: int = 1) -> str:
         return self.text[self.at : self.at + n]
 
-    def alternation(self) -> Node:
-        parts = [self.concatenation()]
+    def alternatives(self) -> list[list[Step]]:
+        begin, found = self.at, self.sequence()
         while self.peek() == "|":
             self.at += 1
-            parts.append(self.concatenation())
-        return parts[0] if len(parts) == 1 else Node("alternation", tuple(parts))
-
-    def concatenation(self) -> Node:
-        parts = []
+            found += self.sequence()
+        # single signs side by side are one class
+        if len(found) > 1 and re.fullmatch(r"(\\[^\w\s]|[^\\()\[\]{}.*+?^$|])(\|(\\[^\w\s]|[^\\()\[\]{}.*+?^$|]))+", source := self.text[begin : self.at]):
+            return [[Step(_signs_of("[" + "".join(re.escape(c.removeprefix("\\")) for c in source.split("|")) + "]"))]]
+        return found
+
+    def sequence(self) -> list[list[Step]]:
+        """One sequence, or the alternatives of a group that stands alone."""
+        items: list[Step | Group] = []
         while self.at < len(self.text) and self.peek() not in "|)":
-            atom = self.atom()
-            if atom is not None:
-                parts.append(self.repeated(atom))
-        if not parts:
-            return Node("empty")
-        return parts[0] if len(parts) == 1 else Node("concat", tuple(parts))
-
-    def repeated(self, atom: Node) -> Node:
-        while True:
-            got = re.match(r"([*+?]|\{(\d+)(,(\d*))?\})([?+]?)", self.text[self.at :])
-            if not got:
-                return atom
+            item = self.item()
+            if item is not None:
+                items.append(self.repeated(item))
+        if len(items) == 1 and isinstance(items[0], Group):
+            return list(items[0].alternatives)
+        steps: list[Step] = []
+        for item in items:
+            if isinstance(item, Group) and not item.captured and len(item.alternatives) == 1:
+                steps += item.alternatives[0]
+            else:
+                steps.append(item.as_step() if isinstance(item, Group) else item)
+        return [steps]
+
+    def repeated(self, item: Step | Group) -> Step | Group:
+        while got := re.match(r"([*+?]|\{(\d+)(,(\d*))?\})([?+]?)", self.text[self.at :]):
             if got[5] == "+":
                 raise ValueError("invalid regex pattern: possessive quantifiers are not supported")
             self.at += got.end()
@@ -84,57 +121,64 @@ class _Parser:
                 most = least if got[3] is None else int(got[4]) if got[4] else None
             else:
                 least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}[got[1]]
-            atom = Node("repeat", (atom,), least=least, most=most)
-
-    def atom(self) -> Node | None:
+            if (least, most) == (1, 1):
+                continue
+            signs = (item if isinstance(item, Group) else Group([[item]], False)).as_step().signs
+            if most == 0 or signs is Signs.NONE and not least:
+                signs = Signs.SOME
+            item = Step(signs, needed=least > 0, idle=signs is Signs.ALL and (least, most) == (0, None))
+        return item
+
+    def item(self) -> Step | Group | None:
         c = self.peek()
         if c == "(":
             return self.group()
         if c == "[":
             end = _class_end(self.text, self.at)
             text, self.at = self.text[self.at : end], end
-            return Node("class", text=text)
+            return Step(_signs_of(text))
         self.at += 1
         if c == ".":
-            return Node("class", text=".")
+            return Step(Signs.ALL)
+        edge = Step(Signs.SOME, needed=False, idle=True)
         if c in "^$":
-            return Node("look", text="edge")
-        if c == "\\":
-            got = re.match(r"b\{[a-z-]+\}|[pP](\{[^}]*\}|.)|x\{[0-9a-fA-F]+\}|x[0-9a-fA-F]{2}|[uU]\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|.", self.text[self.at :], re.S)
-            if not got:
-                raise ValueError("invalid regex pattern: incomplete escape")
-            self.at += got.end()
-            escape = got[0]
-            if escape[0].isdigit() or escape[0] == "k":
-                raise ValueError("invalid regex pattern: backreferences are not supported")
-            if escape[0] in "QEZG":
-                raise ValueError(f"invalid regex pattern: unrecognized escape \\{escape[0]}")
-            if escape[0] in "dDwWsSpP":
-                return Node("class", text="\\" + escape)
-            if escape[0] in "bB":
-                return Node("look", text="word" if len(escape) == 1 else "half")
-            return Node("look", text="edge") if escape[0] in "Az" else Node("literal", text=escape)
-        return Node("literal", text=c)
-
-    def group(self) -> Node | None:
+            return edge
+        if c != "\\":
+            return Step(Signs.SOME)
+        got = re.match(r"b\{[a-z-]+\}|[pP](\{[^}]*\}|.)|x\{[0-9a-fA-F]+\}|x[0-9a-fA-F]{2}|[uU]\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|.", self.text[self.at :], re.S)
+        if not got:
+            raise ValueError("invalid regex pattern: incomplete escape")
+        self.at += got.end()
+        escape = got[0]
+        if escape[0].isdigit() or escape[0] == "k":
+            raise ValueError("invalid regex pattern: backreferences are not supported")
+        if escape[0] in "QEZG":
+            raise ValueError(f"invalid regex pattern: unrecognized escape \\{escape[0]}")
+        if escape[0] in "dDwWsSpP":
+            return Step(_signs_of("\\" + escape))
+        if escape[0] in "bBAz":
+            return edge._replace(boundary=escape in ("b", "B"))
+        return Step(Signs.SOME)
+
+    def group(self) -> Group | None:
         rest = self.text[self.at :]
         if re.match(r"\(\?(<?[=!]|>)", rest):
             raise ValueError("invalid regex pattern: look-around and atomic groups are not supported")
-        captures = True
+        captured = True
         if got := re.match(r"\(\?([a-zA-Z-]*)([:)])", rest):
             self.at += got.end()
             if got[2] == ")":
                 return None
-            captures = False
+            captured = False
         elif got := re.match(r"\(\?P?<\w+>", rest):
             self.at += got.end()
         else:
             self.at += 1
-        inner = self.alternation()
+        inner = self.alternatives()
         if self.peek() != ")":
             raise ValueError("invalid regex pattern: unclosed group")
         self.at += 1
-        return Node("group", (inner,)) if captures else inner
+        return Group(inner, captured)
 
 
 def _class_end(text: str, at: int) -> int:
@@ -157,45 +201,25 @@ def _class_end(text: str, at: int) -> int:
     raise ValueError("invalid regex pattern: unclosed character class")
 
 
-def _class_verdict(text: str) -> Verdict:
+def _signs_of(text: str) -> Signs:
+    """Of a class.  A class of one sign is a literal, which is never questioned."""
     source = re.sub(r"\\[pP]\{?\^?(\w+)\}?", lambda m: r"[^\W\d_]" if m[0][1] == "p" else r"[\W\d_]", text)
     for name, members in (("alpha", "a-zA-Z"), ("digit", "0-9"), ("alnum", "a-zA-Z0-9"), ("word", r"\w"), ("space", r"\s"), ("upper", "A-Z"), ("lower", "a-z"), ("punct", r"!-/:-@\[-`{-~")):
         source = source.replace(f"[:{name}:]", members)
     try:
         one = re.compile(source)
     except re.error:
-        return Verdict.NORMAL
-    hits = [one.match(c) is not None for c in _WORD]
-    return Verdict.ALL if all(hits) else Verdict.NORMAL if any(hits) else Verdict.IMPOSSIBLE
-
-
-def _required(node: Node) -> bool:
-    return node.least > 0 if node.kind == "repeat" else node.kind != "look"
-
-
-def analyse(node: Node, top: bool = True) -> Verdict:
-    """Whether a name can match, and whether every name does."""
-    if node.kind == "class":
-        return _class_verdict(node.text)
-    if node.kind == "look":
-        return Verdict.IMPOSSIBLE if node.text == "word" and not top else Verdict.NORMAL
-    if node.kind == "group":
-        return analyse(node.parts[0], top)
-    if node.kind == "repeat":
-        inner = analyse(node.parts[0], False)
-        return Verdict.NORMAL if inner is Verdict.IMPOSSIBLE and not node.least else inner
-    if node.kind == "concat":
-        verdicts = [analyse(p, False) for p in node.parts]
-        if any(v is Verdict.IMPOSSIBLE and _required(p) for p, v in zip(node.parts, verdicts)):
-            return Verdict.IMPOSSIBLE
-        free = lambda p, v: p.kind == "look" or v is Verdict.ALL and (p.kind == "group" or p.kind == "repeat" and not p.least and p.most is None)
-        return Verdict.ALL if top and all(map(free, node.parts, verdicts)) else Verdict.NORMAL
-    if node.kind == "alternation":
-        verdicts = [analyse(p, top) for p in node.parts]
-        if all(v is Verdict.IMPOSSIBLE for v in verdicts):
-            return Verdict.IMPOSSIBLE
-        return Verdict.ALL if top and all(v is not Verdict.NORMAL for v in verdicts) else Verdict.NORMAL
-    return Verdict.NORMAL
+        return Signs.SOME
+    hits = sum(one.match(c) is not None for c in _WORD)
+    if not hits and re.fullmatch(r"\[(\\.|[^\\^])\]", text, re.S) and not re.fullmatch(r"\[\\[dDwWsSpP]\]", text):
+        return Signs.SOME
+    return Signs.NONE if not hits else Signs.ALL if hits == len(_WORD) else Signs.SOME
+
+
+def _for_python(text: str) -> str:
+    """The pattern with what Python's dialect lacks replaced, only to see whether the rest is well-formed."""
+    plain_groups = re.sub(r"\(\?[a-zA-Z-]+([:)])", lambda m: "(?:" if m[1] == ":" else "", text)
+    return re.sub(r"\\[pP](\{[^}]*\}|\w)|\[:\w+:\]|\\x\{[^}]*\}|\\b\{[^}]*\}", "x", plain_groups).replace(r"\z", r"\Z")
 
 
 def to_java(text: str) -> str:
@@ -228,17 +252,17 @@ class Pattern:
         """ValueError if the pattern is invalid or no name can match it."""
         fold = case is Case.INSENSITIVE or case is Case.SMART and not any(c.isupper() for c in text)
         parser = _Parser(text)
-        node = parser.alternation()
+        alternatives = parser.alternatives()
         if parser.at < len(text):
             raise ValueError("invalid regex pattern: unopened group")
         try:
-            re.compile(re.sub(r"\\[pP](\{[^}]*\}|\w)|\[:\w+:\]|\\x\{[^}]*\}|\\b\{[^}]*\}", "x", re.sub(r"\(\?[a-zA-Z-]+([:)])", r"(?:\1" if False else lambda m: "(?:" if m[1] == ":" else "", text)).replace(r"\z", r"\Z"))
+            re.compile(_for_python(text))
         except re.error as e:
             raise ValueError(f"invalid regex pattern: {e}") from None
-        verdict = analyse(node)
-        if verdict is Verdict.IMPOSSIBLE:
+        hopeful = [a for a in alternatives if not hopeless(a)]
+        if not hopeful:
             raise ValueError("pattern cannot match any identifier (impossible character class)")
-        if verdict is Verdict.ALL and not word:
+        if all(map(unconditional, hopeful)) and not word:
             return Pattern(text, None)
         plain = not META & set(text)
         flags = "(?iuUd)" if fold else "(?Ud)"
