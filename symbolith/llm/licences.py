@@ -1,10 +1,11 @@
 """Licence scans with a generalised suffix automaton of licence words.
 
 All templates and phrases are one automaton.  A text streams through it; the length of the longest suffix that occurs
-in some template (its matching statistics) is known after each word.  Where a match can't grow further it is maximal;
-long maximal matches of one template, in order and with small gaps, are chained into a span, and a span that covers
-enough of its template gives the template's label.  Phrases are read off the same stream: one ends at a word if its
-state is on the suffix path of the current one.
+in some template (its matching statistics) is known after each word, and the states on its suffix path say at which
+places of which templates shorter suffixes end.  A match that can't grow at its place is maximal.  Long maximal matches
+of one template are chained: in order in the text and in the template, with small gaps in the text, so that each word
+of the template is covered once.  A chain that covers enough of its template is a span and gives the template's label.
+Phrases are read off the same stream: one ends at a word if its state is on the suffix path of the current one.
 """
 
 from __future__ import annotations
@@ -36,6 +37,13 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl-3", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 ]
 #: Words of a match that counts, words between matches of a chain, share of the template that a span must cover.
 LEAST, GAP, COVERED = 4, 4, 0.75
@@ -48,29 +56,51 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Automaton:
-    """A generalised suffix automaton of word sequences; each state knows the sequences that its strings occur in."""
+    """A generalised suffix automaton of word sequences; each state knows where in the sequences its strings end."""
 
     def __init__(self, sequences: list[list[bytes]]):
         self.word: dict[bytes, int] = {}
-        self.next, self.link, self.length, self.owners = [{}], [-1], [0], [0]
+        self.next, self.link, self.length = [{}], [-1], [0]
+        prefixes: list[tuple[int, int, int]] = []
         for k, sequence in enumerate(sequences):
             last = 0
-            for w in sequence:
+            for end, w in enumerate(sequence, 1):
                 last = self._extend(last, self.word.setdefault(w, len(self.word)))
-                at = last
-                while at > 0 and not self.owners[at] >> k & 1:
-                    self.owners[at] |= 1 << k
-                    at = self.link[at]
-        # a state made by splitting takes part wherever its children do
-        for at in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            if self.link[at] > 0:
-                self.owners[self.link[at]] |= self.owners[at]
+                prefixes.append((last, k, end))
+        self.ends: list[list[tuple[int, int]]] = [[] for _ in self.link]  # of prefixes that are the state's own
+        self.children: list[list[int]] = [[] for _ in self.link]
+        for at, k, end in prefixes:
+            self.ends[at].append((k, end))
+        for at in range(1, len(self.link)):
+            self.children[self.link[at]].append(at)
+        self._reached: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+
+    def occurrences(self, state: int) -> list[tuple[int, int]]:
+        """(sequence, end) of the state's strings."""
+        found, open_ = [], [state]
+        while open_:
+            at = open_.pop()
+            found += self.ends[at]
+            open_ += self.children[at]
+        return found
+
+    def suffixes(self, state: int, least: int) -> list[tuple[int, int, int]]:
+        """(sequence, end, length) of the places at which suffixes of at least so many words of the state's longest
+        string end, with the longest such suffix (for the state's own places its length)."""
+        if (got := self._reached.get((state, least))) is None:
+            longest: dict[tuple[int, int], int] = {}
+            at = state
+            while at > 0 and self.length[at] >= least:
+                for place in self.occurrences(at):
+                    longest.setdefault(place, self.length[at])
+                at = self.link[at]
+            got = self._reached[state, least] = sorted((k, end, n) for (k, end), n in longest.items())
+        return got
 
     def _state(self, next_: dict, link: int, length: int) -> int:
         self.next.append(next_)
         self.link.append(link)
         self.length.append(length)
-        self.owners.append(0)
         return len(self.link) - 1
 
     def _split(self, of: int, to: int, w: int) -> int:
@@ -118,6 +148,7 @@ class Scanner:
         self.templates = [(label, words_of(text)) for label, text in templates]
         self.phrases = [(words_of(text), label) for text, label in phrases]
         self.automaton = a = Automaton([w for _, w in self.templates] + [w for w, _ in self.phrases])
+        self.ids = [[a.word[w] for w in words] for _, words in self.templates]
         self.shortest = min(LEAST, *(len(w) for w, _ in self.phrases))
         states = [(a.find(w), len(w), label) for w, label in self.phrases]
         self.ending: list[list[tuple[int, str]]] = []  # of a state: phrases that end with its strings, from what length on
@@ -129,42 +160,59 @@ class Scanner:
             self.ending.append([(n, label) for p, n, label in states if p in path])
 
     def scan(self, words: list[bytes]):
-        """Places of phrases as (first word, label), spans as (label, first word, last word, coverage)."""
+        """Places of phrases as (first word, label), spans as (label, first word, last word, coverage, words covered)."""
         get = self.automaton.word.get
         ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
         known = np.flatnonzero(np.diff(np.concatenate([[False], ids >= 0, [False]]).astype(np.int8)))
-        places, matches = [], []
+        places, matches = [], {}
         for a, b in zip(known[::2].tolist(), known[1::2].tolist()):
             if b - a < self.shortest:
                 continue
-            before = (0, 0)
-            for i, (at, n) in enumerate(self.automaton.stream(ids[a:b].tolist()), a):
-                if n <= before[1] and before[1] >= LEAST:
-                    matches.append((i - before[1], i, before[0]))
-                before = at, n
+            own = ids[a:b].tolist() + [-1]
+            for i, (at, n) in enumerate(self.automaton.stream(own[:-1])):
                 for least, label in self.ending[at]:
                     if n >= least:
-                        places.append((i - least + 1, label))
-            if before[1] >= LEAST:
-                matches.append((b - before[1], b, before[0]))
-        return places, self._chained(matches)
-
-    def _chained(self, matches):
-        """Maximal matches (begin, end, state) of each template, chained: in order, not overlapping, GAP apart at most."""
+                        places.append((a + i - least + 1, label))
+                if n >= LEAST:
+                    for k, end, longest in self.automaton.suffixes(at, LEAST):
+                        if k < len(self.ids) and (end == len(self.ids[k]) or self.ids[k][end] != own[i + 1]):
+                            size = min(n, longest)
+                            matches.setdefault(k, []).append((a + i + 1 - size, a + i + 1, end - size, end))
+        return places, resolved([span for k in sorted(matches) for span in self._spans(k, matches[k])])
+
+    def _spans(self, k: int, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float, int]]:
+        """Spans of chains of a template's maximal matches (begin and end in the text, then in the template)."""
+        label, words = self.templates[k]
+        matches, chains = sorted(matches, key=lambda m: (m[1], m[3])), []
+        for j, (begin, end, t_begin, t_end) in enumerate(matches):
+            best, first = end - begin, begin
+            for i in range(j - 1, -1, -1):
+                _, to, _, t_to = matches[i]
+                if to < begin - GAP:
+                    break
+                cut = max(0, to - begin, t_to - t_begin)  # words that the match before has already
+                if to < end and t_to < t_end and begin + cut - to <= GAP and cut < end - begin:
+                    best, first = max((best, first), (chains[i][0] + end - begin - cut, chains[i][1]))
+            chains.append((best, first, end))
         spans = []
-        for k, (label, words) in enumerate(self.templates):
-            chain, covered = None, 0
-            for begin, end, state in [*(m for m in matches if self.automaton.owners[m[2]] >> k & 1), (None, None, None)]:
-                if chain and begin is not None and begin - chain[1] <= GAP:
-                    covered += end - max(begin, chain[1])
-                    chain = (chain[0], end)
-                    continue
-                if chain and (share := min(1.0, covered / len(words))) >= COVERED:
-                    spans.append((label, chain[0], chain[1] - 1, share))
-                chain, covered = (begin, end), (end - begin if begin is not None else 0)
+        for covered, first, end in sorted(chains, key=lambda c: (-c[0], c[2] - c[1], c[1])):
+            if covered < COVERED * len(words):
+                break
+            if all(end <= s or first > e for _, s, e, *_ in spans):
+                spans.append((label, first, end - 1, covered / len(words), covered))
         return spans
 
 
+def resolved(spans: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float, int]]:
+    """Spans in order.  Notices of different licences may differ in a word or two: of overlapping spans of different
+    labels the one that covers more words stays (then that of the higher coverage, of the lower label)."""
+    kept: list[tuple[str, int, int, float, int]] = []
+    for span in sorted(spans, key=lambda s: (-s[4], -s[3], s)):
+        if all(span[0] == other[0] or span[2] < other[1] or span[1] > other[2] for other in kept):
+            kept.append(span)
+    return sorted(kept, key=lambda s: (s[1], s[2], s[0]))
+
+
 @lru_cache(4)
 def scanner(templates: tuple, phrases: tuple) -> Scanner:
     return Scanner(templates, phrases)

@@ -107,7 +107,80 @@ def test_matching_statistics_equal_brute_force():
             assert n == max(fits)
             piece = b" " + b"".join(w + b" " for w in text[i + 1 - n : i + 1])
             if n:
-                assert machine.owners[state] == sum(1 << k for k, j in enumerate(joined) if piece in j)
+                want = sorted((k, e) for k, q in enumerate(sequences) for e in range(n, len(q) + 1) if q[e - n : e] == text[i + 1 - n : i + 1])
+                assert sorted(machine.occurrences(state)) == want, piece
+                suffix = {}
+                for k, q in enumerate(sequences):
+                    for e in range(1, len(q) + 1):
+                        m = next((m for m in range(min(n, e) + 1) if m == min(n, e) or q[e - m - 1] != text[i - m]))
+                        if m >= 2:
+                            suffix[k, e] = m
+                assert {(k, e): min(m, n) for k, e, m in machine.suffixes(state, 2)} == suffix
+
+
+def spans_of(words, label, template):
+    """Spans of one template: all maximal common runs on all diagonals, chained with every run before."""
+    runs = []
+    for i in range(len(words)):
+        for j in range(len(template)):
+            n = 0
+            while i + n < len(words) and j + n < len(template) and words[i + n] == template[j + n]:
+                n += 1
+            if n >= licences.LEAST and not (i and j and words[i - 1] == template[j - 1]):
+                runs.append((i, i + n, j, j + n))
+    runs.sort(key=lambda r: (r[1], r[3]))
+    chains = []
+    for a, b, c, d in runs:
+        options = [(b - a, a)]
+        for (_, e, _, f), (best, first, _) in zip(runs, chains):
+            cut = max(0, e - a, f - c)
+            if e < b and f < d and a + cut - e <= licences.GAP and cut < b - a:
+                options.append((best + b - a - cut, first))
+        chains.append((*max(options), b))
+    out = []
+    for covered, first, end in sorted(chains, key=lambda c: (-c[0], c[2] - c[1], c[1])):
+        if covered >= licences.COVERED * len(template) and all(end <= s or first > e for _, s, e, *_ in out):
+            out.append((label, first, end - 1, covered / len(template), covered))
+    return out
+
+
+def test_spans_equal_a_quadratic_chain():
+    rng = random.Random(9)
+    templates = [("x", "a b c d e f g h i j k l"), ("y", "c d e f x y z a b c d e"), ("x", "a b c d"), ("z", "a a a a b a a a a b a a")]
+    machine = licences.Scanner(templates, [("a b c", "p")])
+    clauses = [t.split() for _, t in templates]
+    found = 0
+    for _ in range(1500):
+        words = []
+        for _ in range(rng.randint(1, 6)):  # clauses that are repeated, reordered, cut and gapped
+            c = rng.choice(clauses)
+            i = rng.randrange(len(c))
+            words += c[i if rng.random() < 0.5 else 0 : rng.randint(i + 1, len(c))] + [rng.choice("abcxq") for _ in range(rng.choice([0, 0, 0, 1, 3, 6]))]
+        got = machine.scan([w.encode() for w in words])[1]
+        want = licences.resolved([s for (label, t) in templates for s in spans_of(words, label, t.split())])
+        assert got == want
+        assert all(a[0] == b[0] or a[2] < b[1] or b[2] < a[1] for a in got for b in got)
+        found += len(want)
+    assert found > 300
+
+
+def test_clauses_that_are_repeated_or_reordered_give_no_label():
+    machine = licences.scanner(tuple(licences.TEMPLATES), tuple(licences.PHRASES.items()))
+    spans = lambda text: machine.scan(licences.words_of(text))[1]
+    assert spans("licensed under the apache licensed under the apache") == []
+    half = "unless required by applicable law or agreed to in writing software"
+    assert spans(" ".join([half] * 3)) == []
+    notice = next(t for k, t in licences.TEMPLATES if k == "bsd").split()
+    assert spans(" ".join(notice[14:] + notice[:14])) == []
+    twice = spans(" ".join(notice + ["and", "more"] + notice))
+    assert [(label, a, b, c) for label, a, b, c, _ in twice] == [("bsd", 0, len(notice) - 1, 1.0), ("bsd", len(notice) + 2, 2 * len(notice) + 1, 1.0)]
+
+
+def test_similar_notices_give_their_own_label():
+    machine = licences.scanner(tuple(licences.TEMPLATES), tuple(licences.PHRASES.items()))
+    for label, text in licences.TEMPLATES:
+        found = {s[0] for s in machine.scan(licences.words_of(f"some words {text} more"))[1]}
+        assert found == {label}, text
 
 
 def test_empty_tables(spark):
