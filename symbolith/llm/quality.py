@@ -6,9 +6,11 @@ symbols before them.  Discounts come from the counts of counts of each language
 and suffix, sharded by these keys, turn counts into interpolated probabilities.
 
 Scoring: the perplexity of each text under the model of its language.  A model of at most ``BROADCAST_ROWS`` n-grams
-goes to the tasks; a larger one stays a table, and the distinct n-grams of the texts are joined with it.  Thresholds
-are quantiles of the perplexity of trusted texts that aren't part of the model, by language.  Texts in a language without trusted text are
-scored by the model of all languages.
+goes to the tasks; a larger one stays a table, and the distinct n-grams of the texts are joined with it; both read the
+same numbers.  Thresholds are quantiles of the perplexity of trusted texts that aren't part of the model, by language.
+A language with too few of them for its own quantile takes the quantile of all languages' perplexities, each divided by
+its language's median, times its own median.  Texts in a language without trusted text are scored by the model of all
+languages.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ BROADCAST_ROWS = 6_000_000
 #: Every so many trusted rows, by the id's hash, the model isn't trained on: thresholds come from them.
 CALIBRATE = 5
 #: Quantile of their perplexity that is a language's threshold; of fewer than 1 / (1 - quantile) rows it would be their
-#: maximum, set by one odd text: their median times FEW then.
+#: maximum, set by one odd text.  Where all languages together have less than twice as many, the median times FEW.
 QUANTILE, FEW = 0.99, 1.25
+#: Trusted ids that are broadcast at most; more of them are joined by a shuffle of the texts.
+SENT_IDS = 2_000_000
 #: The perplexity of a short text varies more: it is divided by exp(SHORT / sqrt(symbols)) for the comparison.
 SHORT = 2.0
 #: Characters whose n-grams are looked at together.
@@ -113,7 +117,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
         y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
         cut = lambda j: F.when((F.col(f"n{j}") > 0) & (F.col(f"n{j + 1}") > 0), F.greatest(F.lit(0.1), F.least(F.lit(float(j)), j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}")))).otherwise(0.75).alias(f"d{j}")  # noqa: E731, B023
         discounts = found.select("lang", cut(1), cut(2), cut(3))  # one row a language
-        rows = orders[k].join(discounts, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        rows = orders[k].join(F.broadcast(discounts), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         context = F.shiftright("gram", BITS).alias("context")
         totals = rows.groupBy("lang", context).agg(F.sum("n").alias("total"), F.sum("d").alias("kept"))
         joined = rows.withColumn("context", F.shiftright("gram", BITS)).join(totals, ["lang", "context"])
@@ -130,7 +134,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     for k in range(ORDER + 1):
         own = done[k] if k else backs[0].select("lang", "gram", F.lit(-np.log(END + 1)).alias("logp"))
         own = own.join(backs[k], ["lang", "gram"], "full") if k < ORDER else own.withColumn("back", F.lit(None).cast("double"))
-        tables.append(own.select("lang", F.lit(k).alias("size"), "gram", "logp", "back"))
+        tables.append(own.select("lang", F.lit(k).alias("size"), "gram", *(F.col(c).cast("float") for c in ("logp", "back"))))
     return common.staged(reduce(DataFrame.unionByName, tables), "model")
 
 
@@ -192,7 +196,7 @@ def perplexities(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_c
     for lang in sizes:  # one language and order at a time passes the driver
         arrays[lang] = {}
         for size in range(ORDER + 1):
-            part = model.filter((F.col("lang") == lang) & (F.col("size") == size)).select("gram", F.col("logp").cast("float"), F.col("back").cast("float")).toArrow()
+            part = model.filter((F.col("lang") == lang) & (F.col("size") == size)).select("gram", "logp", "back").toArrow()
             gram = part.column(0).to_numpy()
             order = np.argsort(gram)
             arrays[lang][size] = gram[order], *(part.column(k).to_numpy(zero_copy_only=False)[order].astype(np.float32) for k in (1, 2))
@@ -224,15 +228,20 @@ def _by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k, (row, lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2)))):
-                grams, n = np.unique(_grams([text])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(grams), pa.int64()), pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], names=["row", "lang", "gram", "n"])
+            for at, texts in common.runs(batch, 2, PART):
+                grams, sizes = _grams(texts)
+                text = np.repeat(np.arange(len(texts)), sizes)
+                order = np.lexsort((grams, text))
+                grams, text = grams[order], text[order]
+                first = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])))
+                own = pa.array(text[first] + at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(grams[first]), pa.array(np.diff(first, append=len(grams)))], names=["row", "lang", "gram", "n"])
 
     grams = common.staged(rows.select("row", "model", "text").mapInArrow(run, "row long, lang string, gram long, n long"), "text-grams")
     kinds = grams.select("lang", "gram").distinct().withColumns({"weight": F.lit(0.0), "logp": F.lit(None).cast("double")})
     for size in range(ORDER, 0, -1):
-        own = model.filter(F.col("size") == size).select("lang", F.col("gram").alias("own"), F.col("logp").alias("seen"))
-        before = model.filter(F.col("size") == size - 1).select("lang", F.col("gram").alias("context"), "back")
+        own = model.filter(F.col("size") == size).select("lang", F.col("gram").alias("own"), F.col("logp").cast("double").alias("seen"))
+        before = model.filter(F.col("size") == size - 1).select("lang", F.col("gram").alias("context"), F.col("back").cast("double").alias("back"))
         kinds = kinds.withColumn("own", F.col("gram").bitwiseAND((1 << (BITS * size)) - 1)).join(own, ["lang", "own"], "left")
         kinds = kinds.withColumn("context", F.shiftright("own", BITS)).join(before, ["lang", "context"], "left")
         known = F.coalesce("logp", F.col("weight") + F.col("seen"))
@@ -253,7 +262,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Trusted are the rows that ``labels`` gives 1, but for those of ``held_out``.  One in CALIBRATE of them isn't
     trained on.  A text is kept if its perplexity, allowing for its length, is at most the threshold of its model,
-    their ``quantile`` in its language (FEW times the median of less than 1 / (1 - quantile) rows).  Null counts as empty, which
+    their ``quantile`` in its language (of fewer than 1 / (1 - quantile) rows the pooled one).  Null counts as empty, which
     is one end mark; null or unknown languages use the model of all languages.  Without any trusted text nothing is
     known: perplexity and threshold are null and all rows are kept.  Further columns are ignored.
     """
@@ -262,16 +271,23 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     own = chosen.select(F.col(id_col).alias("id"), lang.alias("lang"), common.text_of(text_col).alias("text"))
     apart = F.pmod(F.xxhash64(F.col("trusted_id").cast("string")), F.lit(CALIBRATE)) == 0
-    # one plan at every size: the texts are dealt by id, whether the labels would fit into a broadcast or not
-    own = own.join(trusted.filter(~apart).hint("merge"), own["id"] == F.col("trusted_id"), "left_semi").select("lang", "text")
+    learnt = common.staged(trusted.filter(~apart), "trusted")
+    learnt = F.broadcast(learnt) if learnt.count() <= SENT_IDS else learnt  # eight bytes each, counted
+    own = own.join(learnt, own["id"] == F.col("trusted_id"), "left_semi").select("lang", "text")
     model = probabilities(common.staged(count_grams(own), "counts"))
     scores = common.staged(perplexities(df, model, id_col, text_col, lang_col, broadcast_rows=broadcast_rows), "perplexities")
     fair = F.col("perplexity") * F.exp(-SHORT / F.sqrt("symbols"))
     known = scores.join(trusted.filter(apart), scores["id"] == F.col("trusted_id"), "left_semi")
-    limit = F.when(F.count("*") * (1 - quantile) >= 1 - 1e-9, F.percentile_approx(fair, quantile, 100_000)).otherwise(F.percentile_approx(fair, 0.5, 100_000) * FEW)
-    limits, everywhere = known.groupBy("model").agg(limit.alias("threshold")), known.agg(limit.alias("any_threshold"))
-    limits = scores.select("model").distinct().join(limits, "model", "left").join(F.broadcast(everywhere))  # one row a language
-    limits = limits.select("model", F.coalesce("threshold", "any_threshold").alias("threshold"))
+    known = known.select("model", fair.alias("fair"))
+    own_ = known.groupBy("model").agg(F.count("*").alias("n"), F.percentile_approx("fair", 0.5, 100_000).alias("median"), F.percentile_approx("fair", quantile, 100_000).alias("own"))
+    own_ = common.staged(own_, "limits")
+    enough = lambda n: n * (1 - quantile) >= 1 - 1e-9
+    ratio = F.when(enough(F.count("*") / 2), F.percentile_approx(F.col("fair") / F.col("median"), quantile, 100_000)).otherwise(FEW)
+    ratio = known.join(F.broadcast(own_), "model").agg(ratio).first()[0]
+    everywhere = known.agg(F.percentile_approx("fair", 0.5, 100_000)).first()[0]
+    limits = scores.select("model").distinct().join(own_, "model", "left")  # one row a language
+    pooled = F.coalesce("median", F.lit(everywhere).cast("double")) * F.lit(ratio).cast("double")
+    limits = limits.select("model", F.when(enough(F.col("n")), F.col("own")).otherwise(pooled).alias("threshold"))
     kept = F.coalesce(fair <= F.col("threshold"), F.lit(True))
     return scores.join(F.broadcast(limits), "model").select(F.col("id").alias(id_col), "digest", "model", "perplexity", "threshold", kept.alias("kept"))
 

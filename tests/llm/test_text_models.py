@@ -286,6 +286,36 @@ def test_all_parts_of_a_marked_article_stay():
         assert html_extract.candidates(page) == (blocks, True)
 
 
+def test_the_same_rows_are_kept_however_the_model_travels(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    sent = {(r.doc_id, r.model, r.kept, r.threshold) for r in quality.classify(docs, labels).collect()}
+    monkeypatch.setattr(quality, "SENT_IDS", 0)
+    joined = quality.classify(docs, labels, broadcast_rows=0).collect()
+    assert {(r.doc_id, r.model, r.kept) for r in joined} == {x[:3] for x in sent}
+    limits = {m: t for _, m, _, t in sent}
+    assert all(r.threshold == pytest.approx(limits[r.model], rel=1e-9) for r in joined)
+
+
+def test_thresholds_are_quantiles_of_the_language(spark):
+    """Own quantile with enough calibration rows, else the pooled quantile of the ratios to the median."""
+    rng = random.Random(17)
+    docs = [(i, sentence(rng, rng.randint(20, 80)), "en" if i < 900 else "de") for i in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in docs], "doc_id long, quality int")
+    got = quality.classify(df, labels, quantile=0.98).collect()
+    apart = {r.id for r in spark.range(1000).filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(quality.CALIBRATE)) == 0).collect()}
+    size = {i: len(t.encode()) + 1 for i, t, _ in docs}
+    fair = {r.doc_id: r.perplexity * math.exp(-quality.SHORT / math.sqrt(size[r.doc_id])) for r in got}
+    rank = lambda values, q: sorted(values)[math.ceil(q * len(values)) - 1]
+    by = {m: [fair[r.doc_id] for r in got if r.model == m and r.doc_id in apart] for m in ("en", "de")}
+    assert len(by["en"]) >= 50 > len(by["de"]) > 0
+    medians = {m: rank(v, 0.5) for m, v in by.items()}
+    pooled = rank([x / medians[m] for m, v in by.items() for x in v], 0.98)
+    want = {"en": rank(by["en"], 0.98), "de": medians["de"] * pooled}
+    assert {r.model: r.threshold for r in got} == pytest.approx(want, rel=1e-6)
+    assert all(r.kept == (fair[r.doc_id] <= r.threshold * (1 + 1e-12)) for r in got)
+
+
 def test_the_model_grows_with_trusted_text(spark):
     rng = random.Random(13)
     texts = [("en", "".join(rng.choice("abcdefgh") for _ in range(2000))) for _ in range(20)]
