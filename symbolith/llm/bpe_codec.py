@@ -53,7 +53,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voc
     rows = df.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, offsets array<int>"
-    return rows.mapInArrow(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.returning(run), f"id {kind}, {columns}").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, vocabulary: str) -> DataFrame:
@@ -66,4 +66,4 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, vocab
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "data"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, data binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.returning(run), f"id {rows.schema['id'].dataType.simpleString()}, data binary").withColumnRenamed("id", id_col)

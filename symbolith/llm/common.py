@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def width(rows: int) -> int:
+    """Partitions of a staged table of so many short rows; without that a small table gets as many as a large one."""
+    return 8 + rows // 100_000
+
+
 def text_of(column: Column | str) -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
@@ -97,6 +103,19 @@ def runs(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[int,
         yield at, run
 
 
+def returning(run: Callable) -> Callable:
+    """``run`` over batches, which then gives the memory that they took back to the system: workers live on beside the
+    JVM."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # where the C library has it
+            trim(0)
+
+    return whole
+
+
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of each run of ``counts`` values."""
     total = np.concatenate([[0], np.cumsum(values)])

@@ -476,7 +476,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     contents.append(hashlib.blake2b(whole, digest_size=16).digest() if found else None)
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(pages)) for c in batch.columns[:4]), pa.array(contents, pa.binary()), pa.array(blocks, pa.list_(pa.string())), pa.array(marks, pa.bool_())], names=["id", "url", "host", "parts", "content", "blocks", "marked"])
 
-    parsed = rows.select("id", "url", "host", "parts", "html").mapInArrow(parse, f"id {kind}, url {url_kind}, host string, parts int, content binary, blocks array<string>, marked boolean")
+    parsed = rows.select("id", "url", "host", "parts", "html").mapInArrow(common.returning(parse), f"id {kind}, url {url_kind}, host string, parts int, content binary, blocks array<string>, marked boolean")
     copies = _copies(parsed)
     pages = parsed.withColumn("class", F.col("content")) if copies is None else _sent(parsed, copies, "content").withColumn("class", F.coalesce("class", "content"))
     # rows without text have no class and go anywhere
@@ -490,7 +490,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             n = len({c for c, _ in held})
             yield pa.RecordBatch.from_arrays([pa.array([host] * (len(runs) + 1)), pa.array([None, *runs.tolist()], pa.int64()), pa.array([n] + [0] * len(runs), pa.int64())], names=["host", "run", "pages"])
 
-    found = window.sortWithinPartitions("host", "part").mapInArrow(named, "host string, run long, pages long")
+    found = window.sortWithinPartitions("host", "part").mapInArrow(common.returning(named), "host string, run long, pages long")
     found = found.groupBy("host").agg(F.sum("pages").alias("pages"), F.collect_set("run").alias("runs"))
 
     def counted(batches):
@@ -500,7 +500,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 hit = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([host] * len(hit), pa.string()), pa.array(runs[hit]), pa.array(counts[hit].astype(np.int64)), pa.array([pages] * len(hit), pa.int64())], names=["host", "run", "n", "pages"])
 
-    counts = _by_window(window, found, large, ["runs", "pages"]).mapInArrow(counted, "host string, run long, n long, pages long")
+    counts = _by_window(window, found, large, ["runs", "pages"]).mapInArrow(common.returning(counted), "host string, run long, n long, pages long")
     counts = counts.groupBy("host", "run").agg(F.sum("n").alias("n"), F.first("pages").alias("pages"))
     least = lambda count, share: F.greatest(F.lit(count), F.ceil(F.lit(share) * F.col("pages") - 1e-9))
     chosen = counts.filter(F.col("n") >= least(PAGES, SHARE))
@@ -517,7 +517,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 at = end
             yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    done = _by_window(window, chosen, large, ["some", "most"]).mapInArrow(finish, f"id {kind}, url {url_kind}, text string, n_chars long")
+    done = _by_window(window, chosen, large, ["some", "most"]).mapInArrow(common.returning(finish), f"id {kind}, url {url_kind}, text string, n_chars long")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
 

@@ -249,4 +249,4 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templ
 
     rows = df.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first_word: bigint, last_word: bigint, coverage: double>>"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.returning(run), schema).withColumnRenamed("id", id_col)

@@ -157,7 +157,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, ban
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["id", "digest", "key", "bands"])
 
     rows = df.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"), digest_of(text_col).alias("digest"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, key binary, bands array<bigint>")
+    return rows.mapInArrow(common.returning(run), f"id {rows.schema['id'].dataType.simpleString()}, digest binary, key binary, bands array<bigint>")
 
 
 def shingle_sets(df: DataFrame, text_col: str, key_col: str, size: int) -> DataFrame:
@@ -169,7 +169,7 @@ def shingle_sets(df: DataFrame, text_col: str, key_col: str, size: int) -> DataF
                 sets = [np.unique(shingles(words_of(t), size)).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return df.select(key_col, text_col).mapInArrow(run, "node bigint, shingles array<bigint>")
+    return df.select(key_col, text_col).mapInArrow(common.returning(run), "node bigint, shingles array<bigint>")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, side: str, name: str) -> DataFrame:
@@ -188,19 +188,20 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(F.col("n") >= F.lit(threshold) * (F.col("m") - F.col("n")) - EVEN).drop("n", "m")
 
 
-def components(nodes: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, component (its smallest node): smallest label of the neighbours, then the label's own, until none changes."""
-    both = common.staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = common.staged(nodes.select("node", F.col("node").alias("component")), name)
+def components(edges: DataFrame, width: int) -> DataFrame:
+    """node, component (its smallest node) of the nodes of the edges (a, b): each takes the least label of its own, its
+    neighbours and its label's node, until none changes."""
+    both = common.staged(edges.select("a", "b").union(edges.select("b", "a")).distinct().coalesce(width), "edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+    labels = common.staged(labels.select("node", F.least("node", "near").alias("component")).coalesce(width), "components")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("to"))
-        step = common.staged(step, name)
-        hop = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        jumped = step.join(hop, "to", "left").select("node", F.coalesce("further", "to").alias("component"), (F.coalesce("further", "to") != F.col("component")).alias("moved"))
-        jumped = common.staged(jumped, name)
-        labels = jumped.select("node", "component")
-        if not jumped.filter("moved").head(1):
+        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        step = labels.join(hop, "component").join(near, F.col("node") == F.col("a"))
+        to = F.least("component", "further", "near")
+        step = common.staged(step.select("node", to.alias("component"), (to != F.col("component")).alias("moved")).coalesce(width), "components")
+        labels = step.select("node", "component")
+        if not step.filter("moved").head(1):
             return labels
 
 
@@ -259,14 +260,14 @@ def linked_labels(shared: DataFrame, nodes: DataFrame, sets: DataFrame, threshol
             here, there = labels.select("node", F.col("component").alias("own")), labels.select(F.col("node").alias("to"), F.col("component").alias("led_by"))
             open_ = common.staged(led.join(here, "node").join(there, "to").filter("own <> led_by").select("bucket", "node", "degree"), "open")
     pairs = common.staged(by_prefix(apart(shared, labels), sets, threshold), "pairs")
-    return merged(labels, verified(pairs, sets, threshold)) if pairs.head(1) else labels
+    linked = common.staged(verified(pairs, sets, threshold), "linked")
+    return merged(labels, linked) if linked.head(1) else labels
 
 
 def merged(labels: DataFrame, linked: DataFrame) -> DataFrame:
     """``labels`` (node, component) after the components of linked nodes (component, to_component) have become one."""
-    edges = common.staged(linked.select(F.col("component").alias("a"), F.col("to_component").alias("b")).distinct(), "edges")
-    met = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    become = components(met, edges).select(F.col("node").alias("component"), F.col("component").alias("become"))
+    edges = linked.select(F.col("component").alias("a"), F.col("to_component").alias("b"))
+    become = components(edges, common.width(linked.count())).select(F.col("node").alias("component"), F.col("component").alias("become"))
     return common.staged(labels.join(become, "component", "left").select("node", F.coalesce("become", "component").alias("component")), "labels")
 
 

@@ -243,7 +243,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity:
             yield pa.RecordBatch.from_arrays(own, names=["id", "piece", "start", "length", "ids_crc32", "nth"])
 
     rows = df.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, nth long")
+    return rows.mapInArrow(common.returning(run), f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -279,4 +279,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first[at] + rank), pa.array(offset[at])], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = cut.schema["id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(common.returning(place), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)

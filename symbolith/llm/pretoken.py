@@ -168,15 +168,14 @@ class Cache:
     well, and a hit counts only if that is equal.  Pre-tokens longer than HASHED code points are made anew each time.
     """
 
-    def __init__(self, make, slots: int = 1 << 20, store: int = 4_000_000):
+    def __init__(self, make, slots: int = 1 << 19, store: int = 2_000_000):
         self.make, self.slots, self.limit = make, slots, store
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.n, self.index = 0, np.zeros((4, 1 << 12), np.int32)  # begin and size of the ids, of the text
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.text_begin, self.text_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.text, self.text_used = np.empty(1 << 16, np.uint32), 0
 
     def _add(self, batch: Batch, rows: np.ndarray) -> np.ndarray:
@@ -186,26 +185,26 @@ class Cache:
         self.flat, self.text = _room(self.flat, self.used + len(ids)), _room(self.text, self.text_used + len(points))
         self.flat[self.used : self.used + len(ids)] = ids
         self.text[self.text_used : self.text_used + len(points)] = points
-        first = len(self.begin)
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(size) - size])
-        self.text_begin = np.concatenate([self.text_begin, self.text_used + np.cumsum(length) - length])
-        self.size, self.text_size = np.concatenate([self.size, size]), np.concatenate([self.text_size, length])
+        first, self.n = self.n, self.n + len(rows)
+        while self.n > self.index.shape[1]:
+            self.index = np.concatenate([self.index, np.zeros_like(self.index)], 1)
+        self.index[:, first : self.n] = self.used + np.cumsum(size) - size, size, self.text_used + np.cumsum(length) - length, length
         self.used, self.text_used = self.used + len(ids), self.text_used + len(points)
-        return np.arange(first, first + len(rows), dtype=np.int32)
+        return np.arange(first, self.n, dtype=np.int32)
 
     def _other(self, batch: Batch, rows: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Those of ``rows`` whose pre-token isn't the one at their place ``found``."""
         length = batch.lengths[rows]
-        other = self.text_size[found] != length
+        other = self.index[3, found] != length
         rows_, found_, length = rows[~other], found[~other], length[~other]
-        differ = gather(self.text, self.text_begin[found_], length) != gather(batch.points, batch.begins[rows_], length)
+        differ = gather(self.text, self.index[2, found_].astype(np.int64), length) != gather(batch.points, batch.begins[rows_], length)
         if differ.any():
             other[np.flatnonzero(~other)[np.unique(np.repeat(np.arange(len(rows_)), length)[differ])]] = True
         return rows[other]
 
     def look_up(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         """Begin in ``flat`` and number of ids of each pre-token of the batch."""
-        if max(self.used, self.text_used // 2) > self.limit or len(self.begin) > self.limit // 3:
+        if max(self.used, self.text_used // 3) > self.limit or self.n > self.limit // 3:
             self.clear()
         slot = (batch.hashes >> np.uint64(17)).astype(np.int64) & (self.slots - 1)
         short = batch.lengths < HASHED
@@ -223,7 +222,7 @@ class Cache:
             found[long] = self._add(batch, long)
         if len(other := self._other(batch, known := np.flatnonzero(short), found[known])):
             found[other] = self._add(batch, other)
-        return self.begin[found], self.size[found]
+        return self.index[0, found].astype(np.int64), self.index[1, found].astype(np.int64)
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:

@@ -27,7 +27,7 @@ from . import common
 ORDER = 5
 #: Bits of a symbol: 0 begin, 1 to 256 bytes, 257 end.
 BITS, END = 9, 257
-BROADCAST_ROWS = 6_000_000
+BROADCAST_ROWS, PASSED_ROWS = 6_000_000, 500_000
 #: Every so many trusted rows, by the id's hash, the model isn't trained on: thresholds come from them.
 CALIBRATE = 5
 #: Quantile of their perplexity that is a language's threshold; of fewer than 1 / (1 - quantile) rows it would be their
@@ -92,7 +92,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
         for lang in list(held):
             yield from out(lang)
 
-    each = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    each = rows.mapInArrow(common.returning(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     each = common.staged(each, "grams")
     return each.filter(F.col("lang") != ALL).unionByName(each.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL)))
 
@@ -102,40 +102,47 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(grams)).astype(np.int64)
 
 
+def discounts(orders: dict[int, DataFrame]) -> dict[int, list[tuple[str, float, float, float]]]:
+    """By order: (language, discounts of the counts 1, 2, and 3 or more), from the counts of counts up to 4."""
+    few = [orders[k].filter("n <= 4").groupBy("lang", "n").agg(F.count("*").alias("rows")).withColumn("size", F.lit(k)) for k in orders]
+    tallies: dict[tuple[int, str], dict[int, int]] = {}
+    for r in reduce(DataFrame.unionByName, few).collect():  # four numbers for each language and order
+        tallies.setdefault((r["size"], r["lang"]), {})[r["n"]] = r["rows"]
+    found: dict[int, list] = {k: [] for k in orders}
+    for (size, lang), n in tallies.items():
+        n1, n2 = n.get(1, 0), n.get(2, 0)
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        cut = (min(float(j), max(0.1, j - (j + 1) * y * n[j + 1] / n[j])) if n.get(j) and n.get(j + 1) else 0.75 for j in (1, 2, 3))
+        found[size].append((lang, *cut))
+    return found
+
+
 def probabilities(counts: DataFrame) -> DataFrame:
-    """lang, size (order of the n-gram), gram, logp (interpolated), back (what an unseen continuation is multiplied by,
-    as a logarithm; null where the n-gram is the context of none)."""
-    orders = {ORDER: counts.select("lang", "gram", "n")}
+    """lang, size, gram, is_back, value: of each n-gram of ``size`` symbols its interpolated log probability, and of each
+    one that is a context (``is_back``) the logarithm of what an unseen continuation is multiplied by."""
+    spark, orders = counts.sparkSession, {ORDER: counts.select("lang", "gram", "n")}
+    width = common.width(counts.count())
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)
-        orders[k] = common.staged(orders[k + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n")), f"order{k}")
-    done: dict[int, DataFrame] = {}
-    backs: dict[int, DataFrame] = {}
+        orders[k] = common.staged(orders[k + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n")).coalesce(width), f"order{k}")
+    cuts, low, tables = discounts(orders), None, []
     for k in range(1, ORDER + 1):
-        tallies = [F.coalesce(F.sum((F.col("n") == j).cast("double")), F.lit(0.0)).alias(f"n{j}") for j in (1, 2, 3, 4)]
-        found = orders[k].groupBy("lang").agg(*tallies)
-        y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-        cut = lambda j: F.when((F.col(f"n{j}") > 0) & (F.col(f"n{j + 1}") > 0), F.greatest(F.lit(0.1), F.least(F.lit(float(j)), j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}")))).otherwise(0.75).alias(f"d{j}")  # noqa: E731, B023
-        discounts = found.select("lang", cut(1), cut(2), cut(3))  # one row a language
-        rows = orders[k].join(F.broadcast(discounts), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        context = F.shiftright("gram", BITS).alias("context")
-        totals = rows.groupBy("lang", context).agg(F.sum("n").alias("total"), F.sum("d").alias("kept"))
-        joined = rows.withColumn("context", F.shiftright("gram", BITS)).join(totals, ["lang", "context"])
-        if k == 1:
-            lower = F.lit(1.0 / (END + 1))
-        else:
-            low = done[k - 1].select("lang", F.col("gram").alias("suffix"), F.exp("logp").alias("lower"))
-            joined = joined.withColumn("suffix", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(low, ["lang", "suffix"])
-            lower = F.col("lower")
+        own = spark.createDataFrame(cuts[k], "lang string, d1 double, d2 double, d3 double")  # one row a language
+        # a language whose n-grams all have more than four occurrences has no counts of counts
+        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = orders[k].join(F.broadcast(own), "lang", "left").withColumn("d", F.coalesce(d, F.lit(0.75))).withColumn("context", F.shiftright("gram", BITS))
+        totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("kept"))
+        totals = common.staged(totals.coalesce(width), f"contexts{k - 1}")
+        joined = rows.join(totals, ["lang", "context"])
+        lower = F.lit(1.0 / (END + 1))
+        if low is not None:
+            before = low.select("lang", F.col("gram").alias("suffix"), F.exp("logp").alias("lower"))
+            joined, lower = joined.withColumn("suffix", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(before, ["lang", "suffix"]), F.col("lower")
         p = (F.col("n") - F.col("d")) / F.col("total") + F.col("kept") / F.col("total") * lower
-        done[k] = common.staged(joined.select("lang", "gram", F.log(p).alias("logp")), f"model{k}")
-        backs[k - 1] = totals.select("lang", F.col("context").alias("gram"), F.log(F.col("kept") / F.col("total")).alias("back"))
-    tables = []
-    for k in range(ORDER + 1):
-        own = done[k] if k else backs[0].select("lang", "gram", F.lit(-np.log(END + 1)).alias("logp"))
-        own = own.join(backs[k], ["lang", "gram"], "full") if k < ORDER else own.withColumn("back", F.lit(None).cast("double"))
-        tables.append(own.select("lang", F.lit(k).alias("size"), "gram", *(F.col(c).cast("float") for c in ("logp", "back"))))
-    return common.staged(reduce(DataFrame.unionByName, tables), "model")
+        low = common.staged(joined.select("lang", "gram", F.log(p).alias("logp")).coalesce(width), f"model{k}")
+        tables.append(low.select("lang", F.lit(k).alias("size"), "gram", F.lit(False).alias("is_back"), F.col("logp").cast("float").alias("value")))
+        tables.append(totals.select("lang", F.lit(k - 1).alias("size"), F.col("context").alias("gram"), F.lit(True).alias("is_back"), F.log(F.col("kept") / F.col("total")).cast("float").alias("value")))
+    return common.staged(reduce(DataFrame.unionByName, tables).coalesce(width), "model")
 
 
 class Model:
@@ -143,26 +150,27 @@ class Model:
 
     SLOTS = 1 << 18
 
-    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]):
         self.tables = tables
         self.keys, self.values = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS)
 
-    def _find(self, size: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, logp, back = self.tables[size]
-        at = np.minimum(np.searchsorted(keys, gram), max(0, len(keys) - 1))
-        hit = keys[at] == gram if len(keys) else np.zeros(len(gram), bool)
-        return np.where(hit, logp[at], np.nan), np.where(hit, np.nan_to_num(back[at]), 0.0)
+    def _find(self, size: int, is_back: bool, gram: np.ndarray, missing: float) -> np.ndarray:
+        keys, values = self.tables.get((size, is_back), (np.zeros(0, np.int64),) * 2)
+        if not len(keys):
+            return np.full(len(gram), missing)
+        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        return np.where(keys[at] == gram, values[at], missing)
 
     def resolve(self, gram: np.ndarray) -> np.ndarray:
         """Log probability of each n-gram's last symbol after the others."""
         out, open_, weight = np.zeros(len(gram)), np.arange(len(gram)), np.zeros(len(gram))
         for size in range(ORDER, 0, -1):
             own = gram[open_] & ((1 << (BITS * size)) - 1)
-            logp, _ = self._find(size, own)
+            logp = self._find(size, False, own, np.nan)
             seen = ~np.isnan(logp)
             out[open_[seen]] = logp[seen] + weight[open_[seen]]
             open_, own = open_[~seen], own[~seen]
-            weight[open_] += self._find(size - 1, own >> BITS)[1]
+            weight[open_] += self._find(size - 1, True, own >> BITS, 0.0)
         out[open_] = weight[open_] - np.log(END + 1)
         return out
 
@@ -187,19 +195,27 @@ def _lang(known: list[str], lang_col: str) -> Column:
 
 def perplexities(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """id, digest (of the text), model (its language), perplexity, symbols (scored): one row per input row."""
-    sizes = {r["lang"]: r["n"] for r in model.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one a language
+    sizes: dict[str, dict[int, int]] = {}
+    for r in model.groupBy("lang", "size").agg(F.count("*").alias("n")).collect():  # some for each language
+        sizes.setdefault(r["lang"], {})[r["size"]] = r["n"]
     rows = df.select(F.col(id_col).alias("id"), F.unhex(F.sha2(common.text_of(text_col), 256)).alias("digest"), _lang([k for k in sizes if k != ALL], lang_col).alias("model"), common.text_of(text_col).alias("text"))
-    if sum(sizes.values()) > broadcast_rows:
+    if sum(n for own in sizes.values() for n in own.values()) > broadcast_rows:
         return _by_join(rows, model)
     kind = rows.schema["id"].dataType.simpleString()
     arrays: dict[str, dict] = {}
-    for lang in sizes:  # one language and order at a time passes the driver
-        arrays[lang] = {}
-        for size in range(ORDER + 1):
-            part = model.filter((F.col("lang") == lang) & (F.col("size") == size)).select("gram", "logp", "back").toArrow()
-            gram = part.column(0).to_numpy()
-            order = np.argsort(gram)
-            arrays[lang][size] = gram[order], *(part.column(k).to_numpy(zero_copy_only=False)[order].astype(np.float32) for k in (1, 2))
+    for lang, own in sizes.items():
+        arrays[lang], orders = {}, sorted(own)
+        while orders:  # a part of a language passes the driver at once
+            n = next((k for k in range(1, len(orders)) if sum(own[o] for o in orders[: k + 1]) > PASSED_ROWS), len(orders))
+            part = model.filter((F.col("lang") == lang) & F.col("size").isin(orders[:n])).select("size", "is_back", "gram", "value").toArrow()
+            code = part.column(0).to_numpy() * 2 + part.column(1).to_numpy(zero_copy_only=False)
+            gram, value = part.column(2).to_numpy(), part.column(3).to_numpy()
+            order = np.lexsort((gram, code))
+            for k in np.unique(code).tolist():
+                at = order[np.searchsorted(code, k, sorter=order) : np.searchsorted(code, k, side="right", sorter=order)]
+                arrays[lang][k // 2, bool(k % 2)] = gram[at], value[at]
+            del part, gram, value, order
+            orders = orders[n:]
     sent = df.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches):
@@ -219,7 +235,7 @@ def perplexities(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_c
                         out[begin + at] = np.exp(-common.sums(models[lang].log_probabilities(grams), sizes) / sizes)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, from_pandas=True), pa.array(symbols)], names=["id", "digest", "model", "perplexity", "symbols"])
 
-    return rows.mapInArrow(run, f"id {kind}, digest binary, model string, perplexity double, symbols long")
+    return rows.mapInArrow(common.returning(run), f"id {kind}, digest binary, model string, perplexity double, symbols long")
 
 
 def _by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
@@ -237,11 +253,11 @@ def _by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
                 own = pa.array(text[first] + at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(grams[first]), pa.array(np.diff(first, append=len(grams)))], names=["row", "lang", "gram", "n"])
 
-    grams = common.staged(rows.select("row", "model", "text").mapInArrow(run, "row long, lang string, gram long, n long"), "text-grams")
+    grams = common.staged(rows.select("row", "model", "text").mapInArrow(common.returning(run), "row long, lang string, gram long, n long"), "text-grams")
     kinds = grams.select("lang", "gram").distinct().withColumns({"weight": F.lit(0.0), "logp": F.lit(None).cast("double")})
     for size in range(ORDER, 0, -1):
-        own = model.filter(F.col("size") == size).select("lang", F.col("gram").alias("own"), F.col("logp").cast("double").alias("seen"))
-        before = model.filter(F.col("size") == size - 1).select("lang", F.col("gram").alias("context"), F.col("back").cast("double").alias("back"))
+        own = model.filter((F.col("size") == size) & ~F.col("is_back")).select("lang", F.col("gram").alias("own"), F.col("value").cast("double").alias("seen"))
+        before = model.filter((F.col("size") == size - 1) & F.col("is_back")).select("lang", F.col("gram").alias("context"), F.col("value").cast("double").alias("back"))
         kinds = kinds.withColumn("own", F.col("gram").bitwiseAND((1 << (BITS * size)) - 1)).join(own, ["lang", "own"], "left")
         kinds = kinds.withColumn("context", F.shiftright("own", BITS)).join(before, ["lang", "context"], "left")
         known = F.coalesce("logp", F.col("weight") + F.col("seen"))

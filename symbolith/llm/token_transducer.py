@@ -167,4 +167,4 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = df.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.returning(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -55,7 +55,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield block(dim)
 
-    return rows.mapInArrow(run, _BLOCK)
+    return rows.mapInArrow(common.returning(run), _BLOCK)
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     # of the buckets with enough vectors the longest
     first = buckets.groupBy("dim").agg(F.max(F.struct(F.col("n") > 10 * k, "longest", "bucket")).alias("m")).select("dim", "m.bucket")
     top = buckets.join(first, ["dim", "bucket"]).select("dim", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    sent = common.staged(queries.join(top, "dim").select("block", "dim", "ids", "data", "c_ids", "c_data").mapInArrow(bounded, "block long, dim int, ids binary, data binary, bound binary"), "bounded")
+    sent = common.staged(queries.join(top, "dim").select("block", "dim", "ids", "data", "c_ids", "c_data").mapInArrow(common.returning(bounded), "block long, dim int, ids binary, data binary, bound binary"), "bounded")
     groups = max(64, n_parts)
     right = buckets.select("dim", F.pmod(F.xxhash64("bucket"), F.lit(groups)).cast("int").alias("g"), "longest", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
     left = sent.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -163,7 +163,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 row = [f[0] for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(row), pa.int64()), pa.array(row, pa.int32()), pa.array(q_ids[row] if row else [], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=["block", "row", "query_id", "id", "score"])
 
-    best = met.mapInArrow(search, "block long, row int, query_id long, id long, score long")
+    best = met.mapInArrow(common.returning(search), "block long, row int, query_id long, id long, score long")
     window = Window.partitionBy("block", "row").orderBy(F.col("score").desc(), "id")
     ranked = best.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -145,7 +145,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                     seen.clear()
         yield out()
 
-    counts = sample.mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(common.returning(counted), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sure = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1) >= PRECISION
     top = counts.filter((F.col("toxic") >= max(NEW_LEAST, NEW_SHARE * toxic)) & sure).orderBy(F.col("toxic").desc(), F.length("term").desc(), "term").limit(CANDIDATES).collect()
     terms = [(r["term"], r["toxic"], r["clean"]) for r in top]
@@ -162,7 +162,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     lexicon: dict[str, float] = {}
     if terms:
         rows_of: list[list[int]] = [[] for _ in terms]
-        hits = sample.filter("label = 1").select("text").mapInArrow(found, "hits array<int>").collect()  # bounded by the sample
+        hits = sample.filter("label = 1").select("text").mapInArrow(common.returning(found), "hits array<int>").collect()  # bounded by the sample
         for row, r in enumerate(hits):
             for k in r["hits"]:
                 rows_of[k].append(row)
@@ -186,7 +186,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             each = np.array([model.features(t) for t in common.texts(batch.column(0))]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(pa.array(each[:, k]) for k in range(3)), batch.column(1)], names=["a", "b", "c", "label"])
 
-    data = sample.mapInArrow(featured, "a double, b double, c double, label int").groupBy("a", "b", "c", "label").agg(F.count("*").alias("n")).collect()  # bounded by the sample
+    data = sample.mapInArrow(common.returning(featured), "a double, b double, c double, label int").groupBy("a", "b", "c", "label").agg(F.count("*").alias("n")).collect()  # bounded by the sample
     x, y, n = np.array([[r["a"], r["b"], r["c"]] for r in data]), np.array([r["label"] for r in data], float), np.array([r["n"] for r in data], float)
     model.logistic = tuple(float(w) for w in logistic(x, y, n))
     return model
@@ -219,7 +219,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(each[:, 2])], names=["id", "score", "predicted", "weight"])
 
     rows = df.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, weight double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.returning(run), f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, weight double").withColumnRenamed("id", id_col)
 
 
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
