@@ -10,7 +10,12 @@ SYNTAX = Syntax((), (), strings=(('"', '"', True), ("'", "'", False)), newline=T
 LINE = re.compile(r"[ \t]*(?:(?P<function>function\s+(?P<name>[\w:.-]+)\s*(?:\(\s*\))?|(?P<plain>[\w:.-]+)\s*\(\s*\))\s*(?P<open>[{(])|(?P<const>readonly|(?:declare|typeset|local)\s+-\w*r\w*)\b(?P<rest>[^\n;]*)|(?P<var>[A-Za-z_]\w*)(?:\[[^\]]*\])?\+?=)", re.M)
 
 
+#: A here-document: its mark, the rest of that line, its text up to the mark on a line of its own.
+HERE = re.compile(r"(?<!<)<<(-?)[ \t]*(['\"]?)(\w+)\2(?![\w<])([^\n]*\n)(.*?)(?=^\t*\3[ \t]*$|\Z)", re.M | re.S)
+
+
 def extract(text: str) -> list:
+    text = HERE.sub(lambda m: m[0][: len(m[0]) - len(m[5])] + re.sub(r"[^\n]", " ", m[5]), text)
     text = re.sub(r"(?m)(^|\s)#.*", lambda m: m[1] + " " * (len(m[0]) - len(m[1])), text)
     src = Source(text, SYNTAX)
     _block(src, 0, len(text), "")

@@ -6,7 +6,7 @@ import re
 
 from .scanner import Source, Syntax, join
 
-SYNTAX = Syntax(strings=(("`", "`", True), ('"', '"', True), ("'", "'", True)), newline=True)
+SYNTAX = Syntax(strings=(("`", "`", True), ('"', '"', True), ("'", "'", True)), newline=True, patterns=True)
 MODIFIERS = r"(?:(?:export|default|declare|abstract|async|static|public|private|protected|readonly|override|accessor)\s+)*"
 DECLARED = re.compile(MODIFIERS + r"(function\b\s*\*?|class\b|interface\b|type\b|enum\b|const\s+enum\b|namespace\b|module\b|const\b|let\b|var\b)\s*((?:[\w$]+\.)*[\w$]+|\"[^\"]*\"|'[^']*')?")
 MEMBER = re.compile(r"((?:(?:static|public|private|protected|readonly|override|abstract|async|declare|accessor)\s+(?![(=:;?!]))*)((?:get|set)\s+(?![(=:;?]))?(\*\s*)?(#?[\w$]+|\"[^\"]*\"|'[^']*'|\[[^\]]*\])?\s*([?!])?\s*(<|\(|:|=(?!>)|;|$)", re.S)

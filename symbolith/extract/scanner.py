@@ -20,6 +20,7 @@ class Syntax:
     nested: bool = False
     strings: tuple[tuple[str, str, bool], ...] = (('"', '"', True), ("'", "'", True))  # begin, end, escapes
     newline: bool = False
+    patterns: bool = False  # between slashes
 
 
 @dataclass
@@ -139,6 +140,8 @@ class Source:
 def mask(text: str, syntax: Syntax) -> str:
     """The text with comments and what is inside strings blanked out; line ends stay."""
     marks = sorted([*syntax.line, *(o for o, _ in syntax.block), *(o for o, _, _ in syntax.strings)], key=len, reverse=True)
+    if syntax.patterns:
+        marks.append("/")
     if not marks:
         return text
     opener = re.compile("|".join(map(re.escape, marks)))
@@ -164,6 +167,10 @@ def mask(text: str, syntax: Syntax) -> str:
             end = min(len(text), i + len(close)) if text.startswith(close, i) else i
             out.append(mark + blank(text[m.end() : i]) + text[i:end])
             at = end
+        elif syntax.patterns and mark == "/":
+            end = _pattern_end(text, i) if _may_begin_value("".join(out[-4:])) else i
+            out.append(re.sub(r"[^\n/]", " ", text[m.start() : end]) if end > i else mark)
+            at = end
         elif mark in blocks:
             depth, i = 1, m.end()
             while i < len(text) and depth:
@@ -186,6 +193,29 @@ def mask(text: str, syntax: Syntax) -> str:
     return "".join(out)
 
 
+def _may_begin_value(before: str) -> bool:
+    """Whether a slash behind this masked text begins a pattern and doesn't divide."""
+    before = before.rstrip()
+    word = re.search(r"[\w$]+$", before)
+    if word:
+        return word[0] in ("return", "typeof", "case", "in", "of", "new", "delete", "void", "throw", "do", "else", "instanceof", "yield", "await")
+    return not before or before[-1] in "([{,;=:!&|?+-*%>~^}"
+
+
+def _pattern_end(text: str, at: int) -> int:
+    """Place behind the pattern literal whose first sign is at ``at``; ``at`` itself if the line ends before it does."""
+    inside, i = False, at
+    while i < len(text) and text[i] != "\n":
+        if text[i] == "\\":
+            i += 1
+        elif text[i] == "/" and not inside:
+            return i + 1
+        elif text[i] in "[]":
+            inside = text[i] == "["
+        i += 1
+    return at
+
+
 def normalised(signature: str) -> str:
     """White space collapsed; none before or behind an opening parenthesis, none before a closing one."""
     flat = re.sub(r"\s+", " ", signature).strip(" ")

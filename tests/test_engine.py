@@ -180,3 +180,18 @@ def test_extractors_survive_noise(language):
         source = " ".join(rng.choice(tokens) for _ in range(rng.randint(0, 60)))
         for d in EXTRACTORS[language](source):
             assert d.kind in model.KINDS and 1 <= d.line_start <= max(d.line_start, d.line_end)
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript"])
+def test_signs_in_pattern_literals_are_no_brackets_or_quotes(language):
+    text = "const re = /[{}\"'/]/g;\nfunction split(a) { return a / 2 / 3; }\nclass Box { run() { return x.replace(/\\/\\{/, \"\"); } }\nconst half = n / 2;\nfunction last() {}\n"
+    found = [(d.kind, d.scope, d.line_start, d.line_end) for d in EXTRACTORS[language](text)]
+    for wanted in (("function", "split", 2, 2), ("class", "Box", 3, 3), ("function", "last", 5, 5)):
+        assert wanted in found, found
+    assert any(scope == "half" and a == b == 4 for _, scope, a, b in found)
+
+
+def test_here_documents_hold_no_definitions():
+    text = "one() {\n  cat <<-'EOF'\n\tfake() {\n\tEOF\n}\ntwo() {\n  cat <<X | sort\nother() { {\nX\n  grep x <<< \"$a\"\n}\n"
+    found = [(d.kind, d.scope, d.line_start, d.line_end) for d in EXTRACTORS["bash"](text)]
+    assert found == [("function", "one", 1, 5), ("function", "two", 6, 11)]
