@@ -47,7 +47,25 @@ DEPTH = r"len(regexp_extract_all(scope, '(::|[.\\])')) + 1"
 _on_defs("scope_depth", f"SELECT {ALL_COLUMNS} FROM defs WHERE {DEPTH} <= 2", lambda d: ops.by_depth(d, 2))
 _on_defs("scope_depth_hist", f"SELECT CAST({DEPTH} AS INTEGER) AS depth, count(*) AS n FROM defs GROUP BY 1", lambda d: d.groupBy(text.scope_depth(F.col("scope")).alias("depth")).agg(F.count("*").alias("n")))
 _ANTI = "NOT (kind IN ('getter', 'setter') AND EXISTS (SELECT 1 FROM {t} b WHERE b.path = a.path AND b.line_start = a.line_start AND b.scope = a.scope AND b.kind IN ('property', 'subscript')))"
-_on_defs("accessor_dedup", f"SELECT {ALL_COLUMNS} FROM defs a WHERE " + _ANTI.format(t="defs"), ops.without_accessors)
+# Properties, subscripts and classes get a getter and a setter on their own line; every third setter is on the next one.
+_ACCESSED, _MOVED = ["property", "subscript", "class"], "CASE WHEN kind = 'setter' AND ordinal % 3 = 0 THEN 1 ELSE 0 END"
+
+
+def _with_accessors(defs: DataFrame) -> DataFrame:
+    more = [defs.filter(F.col("kind").isin(_ACCESSED)).withColumn("kind", F.lit(kind)) for kind in ("getter", "setter")]
+    more = [d.withColumn("line_start", F.expr(f"line_start + {_MOVED}")) for d in more]
+    return defs.unionByName(more[0]).unionByName(more[1])
+
+
+_on_defs(
+    "accessor_dedup",
+    f"""SELECT {ALL_COLUMNS} FROM (
+        SELECT {ALL_COLUMNS} FROM defs
+        UNION ALL SELECT * REPLACE (CAST(line_start + {_MOVED} AS INTEGER) AS line_start) FROM (
+            SELECT {ALL_COLUMNS.replace("kind", "unnest(['getter', 'setter']) AS kind")} FROM defs WHERE kind IN ({_in(_ACCESSED)}))) a
+        WHERE {_ANTI.format(t="defs")}""",
+    lambda d: ops.without_accessors(_with_accessors(d)),
+)
 _FLAGSHIP = model.resolve(["callable", "value"])
 SQL["combined_search"] = (
     f"WITH {derived.SQL}, m AS (SELECT * FROM defs WHERE kind IN ({_in(_FLAGSHIP)}) AND (contains(scope, 'Part1') OR contains(scope, 'Top')) AND {DEPTH} <= 3), "
