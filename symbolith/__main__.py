@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from . import api
 from .operators import relational as ops
 from .pattern import Case
-from .sources.scan import Options
+from .sources.scan import Options, is_file, resolved
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -48,9 +48,48 @@ def arguments() -> argparse.ArgumentParser:
     return top
 
 
+def in_order(parser: argparse.ArgumentParser, argv: list[str]) -> list[str]:
+    """The arguments of a command with its options first, wherever they stood; a value that begins with a dash is tied to
+    its option, and what looks like an option but is none of the command's is a name or path."""
+    takes_value = {name: action.nargs != 0 for action in parser._actions for name in action.option_strings}
+
+    def options(word: str) -> list[str] | None:
+        """The options that a word stands for, short ones one by one; None if it is no option."""
+        if word.startswith("--"):
+            return [word] if word.partition("=")[0] in takes_value else None
+        letters = [f"-{c}" for c in word[1:]] if word.startswith("-") else []
+        for k, letter in enumerate(letters):
+            if letter not in takes_value:
+                return None
+            if takes_value[letter] and k < len(letters) - 1:
+                return [*letters[:k], letter + word[k + 2 :]]
+        return letters or None
+
+    found, names, rest = [], [], list(argv)
+    while rest:
+        word = rest.pop(0)
+        if word == "--":
+            names += rest
+            break
+        own = options(word)
+        if own is None:
+            names.append(word)
+        elif takes_value.get(own[-1]) and rest and rest[0] != "--" and options(rest[0]) is None:
+            value = rest.pop(0)
+            found += [*own[:-1], f"{own[-1]}={value}" if own[-1].startswith("--") else own[-1] + value]
+        else:
+            found += own
+    return [*found, "--", *names]
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None, err=None) -> int:
     out, err = out or sys.stdout, err or sys.stderr
-    args = arguments().parse_args(argv)
+    argv = sys.argv[1:] if argv is None else argv
+    parser = arguments()
+    commands = next(a.choices for a in parser._actions if isinstance(a, argparse._SubParsersAction))
+    if argv and argv[0] in commands:
+        argv = [argv[0], *in_order(commands[argv[0]], argv[1:])]
+    args = parser.parse_args(argv)
     define = args.command == "def"
     patterns, paths = (args.regexp, args.rest) if define and args.regexp else (args.rest[:1], args.rest[1:]) if define else ([], args.rest)
     if define and not patterns:
@@ -69,7 +108,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     except ValueError as e:
         print(f"error: {e}", file=err)
         return 2
-    filename = args.with_filename or not args.no_filename
+    one_file = len(paths) == 1 and is_file(spark, resolved(paths, args.project_root)[0])
+    filename = args.with_filename or not (args.no_filename or one_file)
     shape = "files" if define and args.files_with_matches else "count" if define and args.count else "lines"
     if args.json:
         lines = (r["json"] for r in ops.ndjson_in_order(ops.ndjson(found.defs, found.errors, matches=shape == "lines")).toLocalIterator())

@@ -61,6 +61,12 @@ def missing(spark: SparkSession, roots: list[str]) -> list[str]:
     return out
 
 
+def is_file(spark: SparkSession, root: str) -> bool:
+    """Whether a root is a single file."""
+    path, fs = _path(spark, root)
+    return fs.exists(path) and fs.getFileStatus(path).isFile()
+
+
 def _qualified(spark: SparkSession, root: str) -> tuple[str, bool]:
     path, fs = _path(spark, root)
     whole = fs.makeQualified(path).toString()

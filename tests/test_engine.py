@@ -195,3 +195,29 @@ def test_here_documents_hold_no_definitions():
     text = "one() {\n  cat <<-'EOF'\n\tfake() {\n\tEOF\n}\ntwo() {\n  cat <<X | sort\nother() { {\nX\n  grep x <<< \"$a\"\n}\n"
     found = [(d.kind, d.scope, d.line_start, d.line_end) for d in EXTRACTORS["bash"](text)]
     assert found == [("function", "one", 1, 5), ("function", "two", 6, 11)]
+
+
+def test_options_may_stand_anywhere():
+    define = next(a.choices for a in cli.arguments()._actions if a.dest == "command")["def"]
+    order = lambda text: cli.in_order(define, text.split())
+    assert order("foo -i src") == ["-i", "--", "foo", "src"]
+    assert order("-w -foo") == ["-w", "--", "-foo"]
+    assert order("-e -x src") == ["-e-x", "--", "src"]
+    assert order("foo src -k function --max-depth 3") == ["-kfunction", "--max-depth=3", "--", "foo", "src"]
+    assert order("-wik function foo") == ["-w", "-i", "-kfunction", "--", "foo"]
+    assert order("-kfunction -- -i x") == ["-kfunction", "--", "-i", "x"]
+    assert order("foo --glob=*.py -") == ["--glob=*.py", "--", "foo", "-"]
+
+
+def test_command_line_reorders_and_hides_a_single_file(spark, tree):
+    def run(*argv):
+        out, err = io.StringIO(), io.StringIO()
+        return cli.main(list(argv), spark, out, err), out.getvalue().splitlines()
+
+    one = str(tree / "a" / "one.py")
+    status, hidden = run("def", "FREE", one, "-i")
+    _, shown = run("def", "free", one, "-H")
+    assert status == 0 and len(hidden) == len(shown) == 1 and "one.py" not in hidden[0]
+    assert shown[0].endswith(f"one.py:{hidden[0]}") and hidden[0].startswith("7-8")
+    assert "one.py" in run("def", "free", str(tree / "a"))[1][0]
+    assert run("def", one, "-e", "-x")[0] == 1
