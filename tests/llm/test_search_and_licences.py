@@ -54,6 +54,51 @@ def test_every_way_of_pruning_keeps_the_best():
                 assert sorted(got.get(row, [])) == want
 
 
+def _joins(plan):
+    """Names of the columns on either side of each join of a plan."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    if plan.nodeName() == "Join":
+        yield [{c.output().apply(i).name() for i in range(c.output().size())} for c in children]
+    for c in children:
+        yield from _joins(c)
+
+
+def test_no_join_pairs_the_vectors_of_blocks_and_buckets(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist(), "x", 1) for i in range(300)], SCHEMA)
+    for left, right in _joins(top_k.top_k(df)._jdf.queryExecution().optimizedPlan()):
+        assert not any("data" in c for c in left) or not any("data" in c for c in right), (left, right)
+
+
+@pytest.mark.parametrize("list_worth", [0, 1 << 40])
+def test_top_k_over_many_cells(spark, monkeypatch, list_worth):
+    for name, value in (("BUCKET", 29), ("QUERIES", 7), ("CELL_QUERIES", 3000), ("CELL_BUCKETS", 2000), ("FIRST", 0.1), ("LIST_WORTH", list_worth)):
+        monkeypatch.setattr(top_k, name, value)
+    rng = np.random.default_rng(8)
+    some = rng.normal(size=(150, 12)) * rng.exponential(0.4, size=(150, 1))
+    rows = [(i, some[i % 150].tolist(), "x", 1) for i in range(450)]  # copies
+    rows += [(i, (some[i % 150] * 1.01 + 0.001).tolist(), "x", 1) for i in range(450, 600)]
+    rows += [(i, [0.3] * 12, "x", 1) for i in range(600, 750)]  # a common vector
+    rows += [(i, (rng.normal(size=12) * 100).tolist(), "x", 1) for i in range(750, 800)]  # 32-bit numbers
+    rows += [(i, (rng.normal(size=3) * 1e5).tolist(), "x", 1) for i in range(800, 840)]  # 64-bit products
+    rows += [(840, [2.5e6, 1.0, -1.0], "x", 1)]  # a 64-bit number
+    got = top_k.top_k(spark.createDataFrame(rows, SCHEMA), k=10, every=5)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 10, 5)
+
+
+def test_what_is_kept_of_a_query_does_not_grow_with_the_buckets():
+    rng = np.random.default_rng(5)
+    c = rng.integers(-300, 300, size=(900, 6))
+    c[300:600] = c[0]
+    ids = rng.permutation(900).astype(np.int64)
+    block = top_k.Block(0, ids[:40], c[:40], np.full(40, top_k.LEAST), 4)
+    for i in range(0, 900, 50):
+        block.meet(top_k.Bucket(ids[i : i + 50], c[i : i + 50], float(np.sqrt((c[i : i + 50] ** 2).sum(1).max()))))
+    got = sorted(zip(*(block.results().column(n).to_pylist() for n in ("row", "score", "id"))))
+    want = [(r, s, i) for r in range(40) for s, i in sorted(((int(c[r] @ v), int(i)) for v, i in zip(c, ids) if i != ids[r]), key=lambda x: (-x[0], x[1]))[:4]]
+    assert got == sorted(want) and len(got) == 160
+
+
 def test_large_components_stay_exact():
     q = np.array([[2**30 + 1, 3]], np.int64)
     assert top_k._products(q, q)[0, 0] == (2**30 + 1) ** 2 + 9
