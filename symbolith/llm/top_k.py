@@ -1,8 +1,9 @@
 """Exact top-k search by inner product with norm-bucketed retrieval.
 
-Vectors become integers and are grouped by length (Euclidean norm) into buckets, longest first.  A first pass over the
-buckets of the longest vectors gives every query a lower bound of its k-th best score.  In the second pass blocks of
-queries meet the buckets, the longest first, and each query's bound rises with the best that it has met.
+Vectors become integers and are grouped by length (Euclidean norm) into buckets, longest first.  A query's own bucket,
+which has its copies, and a first pass over the buckets of the longest vectors give it a lower bound of its k-th best
+score.  In the second pass blocks of queries meet the buckets, the longest first, and each query's bound rises with the
+best that it has met.
 bound / (length of the query * greatest length of the bucket) is the cosine that a vector of the bucket must reach.
 Above 1 the bucket is skipped; near 1 the largest coordinates of the query prune through sorted lists of the bucket's
 coordinates, as a vector of that cosine can't be far from it in any of them; otherwise the vectors' lengths prune.  What
@@ -78,18 +79,27 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFra
     return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).mapInArrow(common.returning(run), _VECTOR)
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of vectors of one dimension and width, longest first; ``rows`` are in that order inside a partition."""
+def _packed(rows: DataFrame, every: int, k: int) -> DataFrame:
+    """Buckets of vectors of one dimension and width, longest first; ``rows`` are in that order inside a partition.
+
+    ``bound`` has what the bucket itself gives each of its queries as a bound.
+    """
+    size = BUCKET
 
     def run(batches):
         held: dict[tuple[int, int], tuple[list[int], list[bytes]]] = {}
 
-        def block(dim: int, width: int):
+        def bucket(dim: int, width: int):
             ids, vs = held.pop((dim, width))
-            data = b"".join(vs)
-            longest = float(_lengths(np.frombuffer(data, f"<i{width}").reshape(len(ids), dim)).max())
-            columns = ([dim], [width], [len(ids)], [longest], [np.array(ids, np.int64).tobytes()], [data], [None])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()))], names=["dim", "width", "n", "longest", "ids", "data", "bound"])
+            ids, data = np.array(ids, np.int64), np.frombuffer(b"".join(vs), f"<i{width}").reshape(len(ids), dim)
+            longest, asked, bounds = float(_lengths(data).max()), np.flatnonzero(ids % every == 0), []
+            whole = Bucket(ids, data, longest)
+            for at in range(0, len(asked), QUERIES):
+                of = asked[at : at + QUERIES]
+                block = Block(0, ids[of], data[of], np.full(len(of), LEAST), k)
+                block.meet(whole)
+                bounds.append(block.reached().tobytes())
+            return _row(dim, width, longest, ids.tobytes(), data.tobytes(), b"".join(bounds))
 
         for batch in batches:
             for i, dim, width, v in zip(*(batch.column(c).to_pylist() for c in ("id", "dim", "width", "data"))):
@@ -97,13 +107,45 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
                 ids.append(i)
                 vs.append(v)
                 if len(ids) >= size or (len(ids) + 1) * len(v) > BLOCK_BYTES:
-                    yield block(dim, width)
+                    yield bucket(dim, width)
         for dim, width in list(held):
-            yield block(dim, width)
+            yield bucket(dim, width)
 
     return rows.select("id", "dim", "width", "data").mapInArrow(common.returning(run), _BLOCK)
 
 
+def _asked(buckets: DataFrame, every: int) -> DataFrame:
+    """Blocks of the queries in the buckets, with their bounds."""
+    size = QUERIES
+
+    def run(batches):
+        held: dict[tuple[int, int], list[tuple[bytes, bytes, bytes]]] = {}
+
+        def block(dim: int, width: int):
+            ids, data, bound = (b"".join(x) for x in zip(*held.pop((dim, width))))
+            longest = float(_lengths(np.frombuffer(data, f"<i{width}").reshape(-1 if dim else len(ids) // 8, dim)).max())
+            return _row(dim, width, longest, ids, data, bound)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim, width, ids, data, bound = (batch.column(c)[i].as_py() for c in ("dim", "width", "ids", "data", "bound"))
+                ids, step = np.frombuffer(ids, np.int64), dim * width
+                for n, j in enumerate(np.flatnonzero(ids % every == 0).tolist()):
+                    of = held.setdefault((dim, width), [])
+                    of.append((ids[j].tobytes(), data[j * step : (j + 1) * step], bound[8 * n : 8 * n + 8]))
+                    if len(of) >= size or (len(of) + 1) * step > BLOCK_BYTES:
+                        yield block(dim, width)
+        for dim, width in list(held):
+            yield block(dim, width)
+
+    return buckets.select("dim", "width", "ids", "data", "bound").filter(F.length("bound") > 0).mapInArrow(common.returning(run), _BLOCK)
+
+
+def _row(dim: int, width: int, longest: float, ids: bytes, data: bytes, bound: bytes) -> pa.RecordBatch:
+    columns = ((dim, pa.int32()), (width, pa.int32()), (len(ids) // 8, pa.int32()), (longest, pa.float64()), (ids, pa.binary()), (data, pa.binary()), (bound, pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in columns], names=["dim", "width", "n", "longest", "ids", "data", "bound"])
+
+
 def _lengths(v: np.ndarray) -> np.ndarray:
     return np.sqrt((v.astype(np.float64) ** 2).sum(1))
 
@@ -255,7 +297,7 @@ class Block:
         full = self.n == self.k
         # a tie of the k-th counts by its id only
         past = full & (self.found[:, -1] < c.ids[0]) & (self.score[:, -1] < MOST)
-        bound = np.where(full, np.maximum(self.bound, self.score[:, -1] + past), self.bound)
+        bound = np.maximum(self.reached(), np.where(full, self.score[:, -1] + past, LEAST))
         rows, ids, scores = _hits(self.ids, self.data, self.length, bound, c, self.k)
         if len(rows):
             touched = np.unique(rows)
@@ -270,9 +312,12 @@ class Block:
         columns = (np.full(len(row), self.block), row.astype(np.int32), self.ids[row], self.found[row, rank], self.score[row, rank])
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "row", "query_id", "id", "score"])
 
+    def reached(self) -> np.ndarray:
+        """The score that a query's k-th best has at least."""
+        return np.where(self.n == self.k, np.maximum(self.bound, self.score[:, -1]), self.bound).astype(np.int64)
+
     def bounded(self) -> pa.RecordBatch:
-        bound = np.where(self.n == self.k, self.score[:, -1], LEAST).astype(np.int64)
-        row = {"block": self.block, "bound": bound.tobytes()}
+        row = {"block": self.block, "bound": self.reached().tobytes()}
         return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("bound", pa.binary())]))
 
 
@@ -297,9 +342,7 @@ def _meeting(queries: DataFrame, buckets: DataFrame, q_groups: int, b_groups: in
                 ids = np.frombuffer(at["ids"][i].as_py(), np.int64)
                 data = np.frombuffer(at["data"][i].as_py(), f"<i{width}").reshape(len(ids), dim)
                 if at["kind"][i].as_py() == 0:
-                    bound = at["bound"][i].as_py()
-                    bound = np.full(len(ids), LEAST) if bound is None else np.frombuffer(bound, np.int64)
-                    held.setdefault(dim, []).append(Block(key, ids, data, bound, k))
+                    held.setdefault(dim, []).append(Block(key, ids, data, np.frombuffer(at["bound"][i].as_py(), np.int64), k))
                 elif dim in held:
                     bucket = Bucket(ids, data, at["longest"][i].as_py())
                     for b in held[dim]:
@@ -314,7 +357,7 @@ def _meeting(queries: DataFrame, buckets: DataFrame, q_groups: int, b_groups: in
 
     columns = ["cell", "kind", "key", "dim", "width", "longest", "ids", "data", "bound"]
     left = queries.withColumn("b", every(b_groups)).withColumn("cell", share("block", q_groups) * b_groups + F.col("b")).withColumns({"kind": F.lit(0), "key": F.col("block")})
-    right = buckets.withColumn("q", every(q_groups)).withColumn("cell", F.col("q") * b_groups + share("bucket", b_groups)).withColumns({"kind": F.lit(1), "key": F.col("bucket")})
+    right = buckets.withColumn("q", every(q_groups)).withColumn("cell", F.col("q") * b_groups + share("bucket", b_groups)).withColumns({"kind": F.lit(1), "key": F.col("bucket"), "bound": F.lit(None).cast("binary")})
     both = left.select(columns).unionByName(right.select(columns))
     dealt = both.repartitionById(q_groups * b_groups, F.col("cell")).sortWithinPartitions("cell", "kind", F.col("longest").desc(), "key")
     return dealt.mapInArrow(common.returning(run), schema)
@@ -339,9 +382,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     n_parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # ties of the norm are dealt by the id's hash, so that a common vector is spread as well
     ordered = vectors.repartitionByRange(max(8, n // (4 * BUCKET), b_bytes // CELL_BUCKETS), F.col("norm").desc(), F.xxhash64("id")).sortWithinPartitions(F.col("norm").desc(), "id")
-    buckets = common.staged(_packed(ordered, BUCKET).withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    asked = vectors.filter(is_query).repartition(max(1, n_queries // (4 * QUERIES), q_bytes // CELL_QUERIES))
-    queries = common.staged(_packed(asked, QUERIES).withColumn("block", F.monotonically_increasing_id()), "queries")
+    buckets = common.staged(_packed(ordered, every, k).withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    queries = common.staged(_asked(buckets, every).withColumn("block", F.monotonically_increasing_id()), "queries")
 
     # of each dimension the longest, with more than 10 * k vectors
     by_dim = Window.partitionBy("dim")
